@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from kinfold.llm.chat import op10_event_log
+from kinfold.llm.decontaminate import op5_suffix_arrays
+from kinfold.llm.langid import op1_zstd_dictionaries
 from kinfold.llm.mixing import op9_sainte_lague
 from kinfold.llm.sharding import op4_hash_tree
 from kinfold.llm.token_files import op3_plane_files
 
 QUERIES = {
+    "op1_zstd_dictionaries": op1_zstd_dictionaries,
     "op3_plane_files": op3_plane_files,
     "op4_hash_tree": op4_hash_tree,
+    "op5_suffix_arrays": op5_suffix_arrays,
     "op9_sainte_lague": op9_sainte_lague,
     "op10_event_log": op10_event_log,
 }
