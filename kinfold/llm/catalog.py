@@ -6,7 +6,9 @@ from kinfold.llm.chat import op10_event_log
 from kinfold.llm.decontaminate import op5_suffix_arrays
 from kinfold.llm.langid import op1_zstd_dictionaries
 from kinfold.llm.mixing import op9_sainte_lague
+from kinfold.llm.quality import op7_kneser_ney
 from kinfold.llm.sharding import op4_hash_tree
+from kinfold.llm.token_counts import op8_count_viterbi
 from kinfold.llm.token_files import op3_plane_files
 
 QUERIES = {
@@ -14,6 +16,8 @@ QUERIES = {
     "op3_plane_files": op3_plane_files,
     "op4_hash_tree": op4_hash_tree,
     "op5_suffix_arrays": op5_suffix_arrays,
+    "op7_kneser_ney": op7_kneser_ney,
+    "op8_count_viterbi": op8_count_viterbi,
     "op9_sainte_lague": op9_sainte_lague,
     "op10_event_log": op10_event_log,
 }
