@@ -6,6 +6,7 @@ from kinfold.llm.chat import op10_event_log
 from kinfold.llm.decontaminate import op5_suffix_arrays
 from kinfold.llm.langid import op1_zstd_dictionaries
 from kinfold.llm.mixing import op9_sainte_lague
+from kinfold.llm.neardup import op6_hamming_join
 from kinfold.llm.quality import op7_kneser_ney
 from kinfold.llm.sharding import op4_hash_tree
 from kinfold.llm.token_counts import op8_count_viterbi
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_plane_files": op3_plane_files,
     "op4_hash_tree": op4_hash_tree,
     "op5_suffix_arrays": op5_suffix_arrays,
+    "op6_hamming_join": op6_hamming_join,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_count_viterbi": op8_count_viterbi,
     "op9_sainte_lague": op9_sainte_lague,
