@@ -7,6 +7,7 @@ from kinfold.llm.decontaminate import op5_suffix_arrays
 from kinfold.llm.langid import op1_zstd_dictionaries
 from kinfold.llm.mixing import op9_sainte_lague
 from kinfold.llm.neardup import op6_hamming_join
+from kinfold.llm.pii import op2_weak_supervision
 from kinfold.llm.quality import op7_kneser_ney
 from kinfold.llm.sharding import op4_hash_tree
 from kinfold.llm.token_counts import op8_count_viterbi
@@ -14,6 +15,7 @@ from kinfold.llm.token_files import op3_plane_files
 
 QUERIES = {
     "op1_zstd_dictionaries": op1_zstd_dictionaries,
+    "op2_weak_supervision": op2_weak_supervision,
     "op3_plane_files": op3_plane_files,
     "op4_hash_tree": op4_hash_tree,
     "op5_suffix_arrays": op5_suffix_arrays,

@@ -113,5 +113,18 @@ def mix(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 21, max_
     return state.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, columns unchanged. Rows with one doc_id
+    and one size are taken alike, as the mix takes the first of them; rows without words are left
+    as they are, for the mix has no say over them."""
+    words = word_count(F.col("text"))
+    times = F.when(F.col("size") > 0, F.expr("taken div greatest(size, 1)")).otherwise(1)
+    taken = mix(docs, **options).withColumn("_times", times.cast("int"))
+    often = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("_times").alias("_times"))
+    rows = docs.withColumn("_words", words)
+    joined = rows.join(often, rows["doc_id"].eqNullSafe(often["_id"]) & (rows["_words"] == often["_size"]))
+    return joined.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op9_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
