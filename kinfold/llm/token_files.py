@@ -16,9 +16,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,48 +38,97 @@ _tokenizers: dict[str, "WordCache"] = {}
 class WordCache:
     """Ids of whole texts. The tokenizer cuts at white space and never merges across it, so each
     white-space word is encoded by the library once and its ids are kept in two generations of
-    at most ``limit`` words."""
+    at most ``limit`` words. Words of lower-case letters alone are one piece to the tokenizer, whose
+    last id is an end-of-word one; many of them are encoded in one call of the same model without
+    its normaliser, which leaves them as they are, and parted at those ids. Texts are lower-cased
+    first, which the tokenizer does too, wherever the two orders give one result."""
 
-    def __init__(self, path: str, limit: int = 250_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.limit = limit
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum([len(w) + 1 for w in some])
-            starts = np.array([o[0] for o in e.offsets], dtype=np.int64)
-            owner = np.searchsorted(ends, starts, side="right")
-            cuts = np.searchsorted(owner, np.arange(len(some) + 1))
-            raw = ids.tobytes()
-            for j, w in enumerate(some):
-                self.new[w] = raw[4 * cuts[j] : 4 * cuts[j + 1]]
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids of ``text``."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.split()
-        new = self.new
-        if missing := [w for w in dict.fromkeys(words) if w not in new]:
-            if len(new) > self.limit:
-                self.old, self.new = new, {}
-                new = self.new
-                missing = list(dict.fromkeys(words))
-            old = self.old
-            if old:
-                for w in missing:
-                    if (b := old.get(w)) is not None:
-                        new[w] = b
-                missing = [w for w in missing if w not in new]
+        new, letters, marked = self.new, {}, []
+        for w in words:
+            if not w:
+                new[w] = b""
+                continue
+            if w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)):
+                letters[w] = None
+            elif w[-1] in ".," and (core := w[:-1]).isascii() and core.isalpha() and core.islower():
+                marked.append(w)  # a letter and a mark are always two pieces
+                if core not in new:
+                    letters[core] = None
+            else:
+                new[w] = self.one(w)
+        plain = list(letters)
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) != len(some) or len(ids) and ends[-1] != 4 * len(ids):
+                new.update((w, self.one(w)) for w in some)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                new[w] = raw[at:end]
+                at = end
+        if marked:
+            marks = {m: self.one(m) for m in ".,"}
+            new.update((w, new[w[:-1]] + marks[w[-1]]) for w in marked)
+
+    @staticmethod
+    def lowered(text: str) -> str:
+        if "<|" in text:  # control tokens are told by case
+            return text
+        low = text.lower()
+        if text.isascii() or "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low):
+            return low
+        return text
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, words))
+        if None in found:
+            at = [i for i, b in enumerate(found) if b is None]
+            missing = [words[i] for i in at]
+            if self.old:
+                known = [(w, b) for w, b in zip(missing, map(self.old.get, missing), strict=True) if b is not None]
+                self.new.update(known)
+                missing = [w for w in missing if w not in self.new] if known else missing
             self.learn(missing)
-        return b"".join(map(new.__getitem__, words))
+            for i in at:
+                found[i] = self.new[words[i]]
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        split = pc.ascii_split_whitespace(pa.array([self.lowered(t) for t in texts], pa.string()))
+        words = split.values.dictionary_encode()
+        found = self.ids_of(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, which = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(starts[which] - ends[:-1], counts)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def tokenizer_for(path: str) -> WordCache:
@@ -125,6 +176,16 @@ def unpack(payload: bytes, chunks: list[dict], plane: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def runs(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with about ``limit`` bytes of text in column 1."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, plane: str = "byte", block_ids: int = 65536, segment_ids: int = 1 << 20, level: int = 3) -> DataFrame:
     """The token table's segments, in ascending doc_id order over (part, seq)."""
     ship(session(docs))
@@ -147,14 +208,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, plane: str =
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = cache.encode(text.as_py() or "") + end
-                held.append(raw)
-                owners.append({"doc_id": doc_id, "n_tokens": len(raw) // 4})
-                n += len(raw) // 4
-                if n >= segment_ids:
-                    yield segment()
-                    seq, held, n, owners = seq + 1, [], 0, []
+            for some in runs(batch, 1 << 24):
+                for doc_id, raw in zip(some.column(0).to_pylist(), cache.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    held += [raw, end]
+                    owners.append({"doc_id": doc_id, "n_tokens": len(raw) // 4 + 1})
+                    n += len(raw) // 4 + 1
+                    if n >= segment_ids:
+                        yield segment()
+                        seq, held, n, owners = seq + 1, [], 0, []
         if owners:
             yield segment()
 
