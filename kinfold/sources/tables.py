@@ -105,7 +105,7 @@ def check_lists(lines: DataFrame, column: str, required: DataFrame, valid: DataF
     heads = lines.where(F.col("line") == header)
     rows = lines.where((F.col("line") != header) & (F.col("line") != ""))
     well = rows.where("has_tab")
-    ids = well.select("s1", F.explode(F.filter(F.transform(F.split("ids", ","), F.trim), lambda x: x != "")).alias("rid"))
+    ids = well.select("s1", F.explode(F.filter(F.transform(F.split("ids", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("rid"))
     repeated = well.groupBy("s1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     twice = ids.groupBy("s1", "rid").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     out = [
