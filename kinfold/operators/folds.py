@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def let(x: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it."""
-    return F.transform(F.array(x), f)[0]
+from kinfold.functions.binding import let
 
 
 def _times(x: Column, c: int) -> Column:

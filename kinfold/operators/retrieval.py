@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfold.functions.binding import let
+
 
 def word_grams(text: Column, n: int = 2) -> Column:
     """White-space tokens and their blank-joined n-grams up to ``n``."""
-    t = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def grams(t: Column) -> Column:
+        def joined(k: int) -> Column:
+            at = F.when(F.size(t) >= k, F.sequence(F.lit(0), F.size(t) - k)).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda i: F.concat_ws(" ", *[F.get(t, i + j) for j in range(k)]))
 
-    def joined(k: int) -> Column:
-        at = F.when(F.size(t) >= k, F.sequence(F.lit(0), F.size(t) - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(t, i + 1, k), " "))
+        return F.concat(t, *[joined(k) for k in range(2, n + 1)])
 
-    return F.concat(t, *[joined(k) for k in range(2, n + 1)])
+    return let(words, grams)
 
 
 def char_grams(text: Column, n: int = 3) -> Column:
@@ -61,11 +66,12 @@ def top_k(pairs: DataFrame, k: int, per: list[str], score: str = "score", tie: s
 def record_side(records: DataFrame, entities: DataFrame, k: int = 3, max_df: float = 0.01, min_score: float = 0.0, grams=word_grams, min_df: int = 1) -> DataFrame:
     """(part, q, d, score, rank): for each record its ``k`` best entities of the same part.
 
-    Both sides have (part, id, text); frequencies are taken over both sides of a part.
+    Both sides have (part, id, text); frequencies are taken over both sides of a part. The gram counts
+    are read four times, so they are persisted (memory, then disk) when the result is first computed.
     """
     both = entities.select("part", F.lit(0).alias("side"), "id", "text").unionByName(records.select("part", F.lit(1).alias("side"), "id", "text"))
     sizes = both.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"))
-    tf = postings(both, grams(F.col("text")), ["part", "side"])
+    tf = postings(both, grams(F.col("text")), ["part", "side"]).persist()
     w = weighted(tf, sizes, ["part"], max_df, min_df, ["side", "id"])
     return top_k(scored_pairs(w.where("side = 1").drop("side"), w.where("side = 0").drop("side"), ["part"], min_score), k, ["part", "q"])
 
