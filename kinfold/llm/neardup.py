@@ -8,15 +8,16 @@ Join. The first 48 symbols are cut into 8 chunks of 6. By pigeonhole two signatu
 most 15 of the 48 have a chunk with at most one error. Every node is filed under each chunk with each
 symbol left out in turn (48 keys), so all pairs under that distance meet; at a similarity of 0.85 a
 pair with more differences still meets in all but 6 of a million cases, since only a pair with two
-errors in every chunk is missed. A pair is taken in the first key it shares only, and only if the
-whole signatures differ in at most 40 symbols (more at 0.85: 2 of a million) and the sizes allow 0.85.
+errors in every chunk is missed. A pair counts if the whole signatures differ in at most 40 symbols
+(more at 0.85: 2 of a million) and the sizes allow 0.85. Every pair of a key is looked at, but only
+edges that join two of the key's clusters become rows: at most one less than the key has nodes.
 
 Keys with many nodes are cut into blocks and every pair of blocks is a group of its own, so no task
 holds more than two blocks and no pair is left out.
 
-Check. Candidate pairs are confirmed on full sets: the candidate graph's components (again in blocks)
-bring each text to one task once. Pairs already joined through confirmed links are not checked again.
-Confirmed links give the final components, named by their least doc_id.
+Check. The components of those edges (again in blocks) bring each text to one task once, where all
+their close pairs are confirmed on full sets, except pairs that confirmed links have joined already.
+Links that join two clusters become rows and give the final components, named by their least doc_id.
 
 Documents without words are linked with nothing and name themselves. Rows without doc_id count in
 their set's group but cannot name it; a set with only such rows is linked with nothing, has no
@@ -151,32 +152,29 @@ def filed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.posexplode(F.array(*keys)).alias("slot", "key"))
 
 
-def first_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first slot in which each pair of signatures meets, -1 if none."""
-    wrong = (a[:, : CHUNKS * WIDTH] != b[:, : CHUNKS * WIDTH]).reshape(-1, CHUNKS, WIDTH)
-    errors = wrong.sum(2)
-    meets = errors <= 1
-    chunk = meets.argmax(1)
-    rows = np.arange(len(a))
-    out = np.where(errors[rows, chunk] == 1, wrong[rows, chunk].argmax(1), 0)
-    return np.where(meets.any(1), chunk * WIDTH + out, -1)
-
-
-def close_pairs(slot: int, nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (left, right) of a group that differ in few symbols and meet here first."""
-    out = []
+def spanning(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, holds=None) -> list[tuple[int, int]]:
+    """Edges over close pairs (left, right) that ``holds`` accepts, one for each time two clusters meet.
+    Pairs inside a cluster are not looked at again; ``right`` may be ``left``, and nodes ascend."""
+    label, out = np.arange(len(nodes)), []
     for i in left:
-        js = right if left is not right else right[right > i]
+        js = right[right > i] if left is right else right
+        js = js[label[js] != label[i]]
+        js = js[(100 * np.minimum(sizes[js], sizes[i]) >= 85 * np.maximum(sizes[js], sizes[i])) & (nodes[js] != nodes[i])]
         if not len(js):
             continue
-        js = js[(100 * np.minimum(sizes[js], sizes[i]) >= 85 * np.maximum(sizes[js], sizes[i])) & (nodes[js] != nodes[i])]
-        js = js[(sigs[js] != sigs[i]).sum(1) <= MAX_DISTANCE]
-        if len(js):
-            js = js[first_slots(np.repeat(sigs[i : i + 1], len(js), 0), sigs[js]) == slot]
-            out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in js]
+        apart = (sigs[js] != sigs[i]).sum(1)
+        js = js[np.argsort(apart, kind="stable")][: int((apart <= MAX_DISTANCE).sum())]
+        for j in js:
+            if label[j] != label[i] and (holds is None or holds(i, j)):
+                label[label == label[j]] = label[i]
+                out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
     return out
 
 
+def edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["u", "v"])
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -193,21 +191,17 @@ def blocked(rows: DataFrame, count: str, by: str, block: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct candidate pairs (u, v), u < v, of ``nodes`` (node, n_shingles, sig)."""
+    """Edges (u, v), u < v, that join all nodes (node, n_shingles, sig) which are close and share a key."""
     from pyspark.sql import Window as W
 
     together = filed(nodes).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1")
     shared = scratch.put(together, "keys")
     rows = blocked(shared.join(nodes, "node"), "_n", "node", BLOCK)
-    ordered = rows.select("key", "slot", "bi", "bj", "seg", "node", "n_shingles", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "slot", "bi", "bj")
+    ordered = rows.select("key", "slot", "bi", "bj", "seg", "node", "n_shingles", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "slot", "bi", "bj", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["u", "v"])
-
-        for (_, slot, bi, bj), group in groupby(rows_of(batches), key=lambda r: r[:4]):
+        found: set[tuple[int, int]] = set()
+        for (_, _, bi, bj), group in groupby(rows_of(batches), key=lambda r: r[:4]):
             held = list(group)
             if len(held) < 2:
                 continue
@@ -215,56 +209,50 @@ def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
             sigs = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(-1, SYMBOLS)
             left = np.flatnonzero(seg == bi)
             right = left if bi == bj else np.flatnonzero(seg == bj)
-            found += close_pairs(slot, np.array([r[5] for r in held]), np.array([r[6] for r in held]), sigs, left, right)
+            found.update(spanning(np.array([r[5] for r in held]), np.array([r[6] for r in held]), sigs, left, right))
             if len(found) >= 1 << 16:
-                yield flush()
-                found = []
+                yield edge_batch(list(found))
+                found = set()
         if found:
-            yield flush()
+            yield edge_batch(list(found))
 
-    return ordered.mapInArrow(run, "u long, v long")
+    return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def confirm(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) that hold on full sets and span the same components as all links do."""
-    roots = scratch.put(components(pairs, scratch, "candidate"), "roots")
+    roots = scratch.put(components(edges, scratch, "candidate"), "roots")
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    placed = scratch.put(roots.join(sizes, "root").select("node", "root", "_n"), "placed")
+    placed = roots.join(sizes, "root").select("node", "root", "_n")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     own = nodes.select("node", "rep").join(placed, "node").join(texts, "rep")
-    node_rows = blocked(own, "_n", "node", BLOCK).select("root", "bi", "bj", F.lit(0).alias("kind"), "node", F.lit(None).cast("long").alias("v"), "text")
-    g = F.ceil(F.col("_n") / BLOCK)
-    ends = pairs.join(placed.withColumnRenamed("node", "u"), "u").withColumns({"_i": F.pmod(F.xxhash64("u"), g).cast("int"), "_j": F.pmod(F.xxhash64("v"), g).cast("int")})
-    pair_rows = ends.select("root", F.least("_i", "_j").alias("bi"), F.greatest("_i", "_j").alias("bj"), F.lit(1).alias("kind"), F.col("u").alias("node"), "v", F.lit(None).cast("string").alias("text"))
-    both = node_rows.unionByName(pair_rows).repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "kind", "node", "v")
+    rows = blocked(own, "_n", "node", BLOCK).select("root", "bi", "bj", "seg", "node", "text")
+    ordered = rows.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows_of(batches), key=lambda r: r[:3]):
-            sets: dict[int, np.ndarray] = {}
-            up: dict[int, int] = {}
-
-            def top(x: int, up=up) -> int:
-                while up.setdefault(x, x) != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
-
-            links = []
-            for _, _, _, kind, a, b, text in group:
-                if kind == 0:
-                    own = shingle_sets([text])[0]
-                    if set_id(own)[0] == a:  # another row may have the doc_id too
-                        sets[a] = own
-                elif a in sets and b in sets and top(a) != top(b):
-                    x, y = sets[a], sets[b]
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * same >= 85 * (len(x) + len(y) - same):
-                        up[top(b)] = top(a)
-                        links.append((a, b))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], names=["u", "v"])
-
-    return both.mapInArrow(run, "u long, v long")
+        for (_, bi, bj), group in groupby(rows_of(batches), key=lambda r: r[:3]):
+            segs, names, sets = [], [], []
+            for _, _, _, seg, node, text in group:
+                own = shingle_sets([text])[0]
+                if set_id(own)[0] == node and (not names or names[-1] != node):  # other rows may have the doc_id too
+                    segs.append(seg)
+                    names.append(node)
+                    sets.append(own)
+            if len(names) < 2:
+                continue
+
+            def holds(i: int, j: int, sets=sets) -> bool:
+                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                return 100 * same >= 85 * (len(sets[i]) + len(sets[j]) - same)
+
+            seg = np.array(segs)
+            sigs = np.frombuffer(b"".join(map(signature, sets)), np.uint8).reshape(-1, SYMBOLS)
+            left = np.flatnonzero(seg == bi)
+            right = left if bi == bj else np.flatnonzero(seg == bj)
+            if links := spanning(np.array(names), np.array([len(s) for s in sets]), sigs, left, right, holds):
+                yield edge_batch(links)
+
+    return ordered.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,9 +261,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = scratch.put(sketch(docs), "sketches")
     grouped = rows.where("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     nodes = scratch.put(grouped, "nodes")
-    pairs = scratch.put(candidates(nodes.where(F.col("rep").isNotNull()).select("node", "n_shingles", "sig"), scratch), "pairs")
+    edges = scratch.put(candidates(nodes.where(F.col("rep").isNotNull()).select("node", "n_shingles", "sig"), scratch), "edges")
     scratch.drop("keys")
-    links = confirm(docs, nodes, pairs, scratch)
+    links = confirm(docs, nodes, edges, scratch)
     roots = scratch.put(components(links, scratch, "linked"), "linked")
     named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
