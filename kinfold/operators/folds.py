@@ -45,6 +45,11 @@ def entity_uniform(key: Column, salt: int) -> Column:
     return F.shiftrightunsigned(x, 11) / F.lit(float(1 << 53))
 
 
+def key_of(df: DataFrame, c: str) -> Column:
+    """A column as a 64-bit key; text is hashed."""
+    return F.xxhash64(c) if dict(df.dtypes)[c] == "string" else F.col(c)
+
+
 def assign_folds(entities: DataFrame, n_folds: int = 5, seed: int = 0, top: int = 6, order: Column | None = None) -> DataFrame:
     """Add k_bucket and fold: entities of a (country, bucket) are dealt in turn in hash order.
 
@@ -68,7 +73,7 @@ def fold_crosstab(entities: DataFrame, n_folds: int = 5) -> DataFrame:
 
 def sampled(df: DataFrame, share: float, key: str, salt: int) -> DataFrame:
     """All rows of a deterministic share of keys."""
-    return df.where(entity_uniform(F.col(key), salt) < share)
+    return df.where(entity_uniform(key_of(df, key), salt) < share)
 
 
 def row_capped(df: DataFrame, cap: int, key: str, salt: int, share: float = 1.0) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.folds import entity_uniform
+from kinfold.operators.folds import entity_uniform, key_of
 
 
 def shared_features(frames: list[DataFrame], wanted: list[str]) -> list[str]:
@@ -38,11 +38,10 @@ def learner(kind: str, seed: int = 7, **options):
 
 def cross_fit(df: DataFrame, features: list[str], folds: list[int], entity: str = "s1", kind: str = "gbt", stop_share: float = 0.1, train_share: float = 1.0, salt: int = 5, **options) -> list:
     """One model per fold, fitted on the other folds. ``df`` has features, label and fold."""
-    rows = assembled(df, features)
-    out = []
+    rows, key, out = assembled(df, features), key_of(df, entity), []
     for f in folds:
-        own = rows.where(F.col("fold").isin([x for x in folds if x != f]) & (entity_uniform(F.col(entity), salt) < train_share))
-        fit = own.withColumns({"held": entity_uniform(F.col(entity), salt + 1) < stop_share, "label": F.col("label").cast("double")})
+        own = rows.where(F.col("fold").isin([x for x in folds if x != f]) & (entity_uniform(key, salt) < train_share))
+        fit = own.withColumns({"held": entity_uniform(key, salt + 1) < stop_share, "label": F.col("label").cast("double")})
         out.append((f, learner(kind, **options).fit(fit)))
     return out
 

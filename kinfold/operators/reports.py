@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.folds import entity_uniform
+from kinfold.operators.folds import sampled
 from kinfold.operators.pairs import ENT, REC
 
 
 def density_removed(entities: DataFrame, share: float = 0.19, seed: int = 1000) -> DataFrame:
     """A random share of entities, to be taken out of the universe."""
-    return entities.where(entity_uniform(F.col("s1"), seed) < share)
+    return sampled(entities, share, "s1", seed)
 
 
 def without(pairs: DataFrame, removed: DataFrame) -> DataFrame:
