@@ -64,7 +64,7 @@ def apportion(wanted: list[float], seats: int, limits: list[int] | None = None)
     return got
 
 
-def mix(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 21, max_cells: int = 100_000, max_repeat: int = 3, seed: int = 5, fits: int = 4) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 16, max_cells: int = 100_000, max_repeat: int = 3, seed: int = 5, fits: int = 4) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken), one per row of ``docs``."""
     spark, scratch = session(docs), Scratch(session(docs), "mixing")
     rows = scratch.put(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
