@@ -26,4 +26,32 @@ QUERIES = {
     "op10_event_log": op10_event_log,
 }
 
-ORACLES: dict[str, str] = {}
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+ORACLES: dict[str, str] = {
+    "op5_suffix_arrays": """
+with w as (select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') x from documents),
+ b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') x from benchmark where item_id is not null),
+ bw as (select distinct item_id, least(13, len(x)) n, array_to_string(x[i : i + least(13, len(x)) - 1], ' ') g from (select item_id, x, unnest(range(1, greatest(len(x) - 12, 1) + 1)) i from b where len(x) > 0)),
+ dw as (select r, i, n, array_to_string(x[i : i + n - 1], ' ') g from (select r, x, n, unnest(range(1, len(x) - n + 2)) i from w, (select distinct n from bw) where len(x) >= n)),
+ m as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw using (n, g)),
+ h as (select r, count(distinct p) n_hit from (select r, unnest(range(i, i + n)) p from (select distinct r, i, n from m)) group by 1),
+ t as (select r, count(*) n_items, string_agg(s, ',' order by s) s from (select distinct r, item_id::varchar s from m) group by 1)
+select doc_id, len(x)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256,
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(x) contaminated from w left join h using (r) left join t using (r)""",
+    "op6_hamming_join": """
+with recursive w as (select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') x from documents),
+ s as (select distinct r, array_to_string(x[i : i + 4], ' ') g from (select r, x, unnest(range(1, greatest(len(x) - 4, 1) + 1)) i from w where len(x) > 0)),
+ n as (select r, count(*) n from s group by 1),
+ p as (select a.r u, b.r v, count(*) c from s a join s b on a.g = b.g and a.r <> b.r group by 1, 2),
+ e as (select u, v from p join n x on x.r = u join n y on y.r = v where 100 * c >= 85 * (x.n + y.n - c)),
+ reach(u, v) as (select r, r from w union select reach.u, e.v from reach join e on e.u = reach.v),
+ c as (select reach.u r, min(w.doc_id) component_id from reach join w on w.r = reach.v group by 1)
+select doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept from w join c using (r) left join n using (r)""",
+    "op10_event_log": f"""
+with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations union all select -1, 0, 'user', '{_CONTROL}' union all select -1, 1, 'assistant', '{_CONTROL}')
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+ sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')))::bigint formatted_chars from t group by 1""",
+}
+"""The rest has hashes, tokenizers, compression or models that SQL lacks; tests hold it against brute force."""
