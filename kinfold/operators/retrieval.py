@@ -39,16 +39,25 @@ def postings(df: DataFrame, grams: Column, by: list[str], idf_id: str = "id") ->
     return df.select(*by, F.col(idf_id).alias("id"), F.explode(grams).alias("_g")).groupBy(*by, "id", F.xxhash64("_g").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weighted(tf: DataFrame, sizes: DataFrame, by: list[str], max_df: float, min_df: int = 1, doc: list[str] = ["id"]) -> DataFrame:  # noqa: B006
-    """L2-normed (1 + ln tf) x (ln((N + 1) / (df + 1)) + 1) after dropping terms in more than
+def term_weights(tf: DataFrame, sizes: DataFrame, by: list[str], max_df: float, min_df: int = 1) -> DataFrame:
+    """``tf`` with ``w``: (1 + ln tf) x (ln((N + 1) / (df + 1)) + 1) after dropping terms in more than
     ``max_df`` of the documents. ``sizes`` has (by, n_docs). Frequent terms go before anything is
     joined, which is also what keeps the later postings join free of hot keys."""
     df = tf.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("_df"))
-    n = df.join(sizes, by) if by else df.crossJoin(F.broadcast(sizes.limit(1)))
-    idf = n.where((F.col("_df") <= F.lit(max_df) * F.col("n_docs")) & (F.col("_df") >= min_df)).select(*by, "term", (F.log((F.col("n_docs") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    w = tf.join(idf, [*by, "term"]).withColumn("_w", (1 + F.log("tf")) * F.col("_idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*by, *doc)))
-    return w.select(*by, *[d for d in doc if d not in by], "term", (F.col("_w") / norm).alias("w"))
+    kept = df.join(sizes, by).where((F.col("_df") <= F.lit(max_df) * F.col("n_docs")) & (F.col("_df") >= min_df))
+    idf = kept.select(*by, "term", (F.log((F.col("n_docs") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
+    return tf.join(idf, [*by, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("_idf")).drop("_idf", "tf")
+
+
+def norms(weights: DataFrame, by: list[str]) -> DataFrame:
+    """Euclidean length of each document's weights."""
+    return weights.groupBy(*by, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def weighted(tf: DataFrame, sizes: DataFrame, by: list[str], max_df: float, min_df: int = 1) -> DataFrame:
+    """(by, id, term, w): L2-normed TF-IDF weights."""
+    w = term_weights(tf, sizes, by, max_df, min_df)
+    return w.join(norms(w, by), [*by, "id"]).select(*by, "id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def scored_pairs(queries: DataFrame, index: DataFrame, by: list[str], min_score: float = 0.0) -> DataFrame:
@@ -72,8 +81,13 @@ def record_side(records: DataFrame, entities: DataFrame, k: int = 3, max_df: flo
     both = entities.select("part", F.lit(0).alias("side"), "id", "text").unionByName(records.select("part", F.lit(1).alias("side"), "id", "text"))
     sizes = both.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"))
     tf = postings(both, grams(F.col("text")), ["part", "side"]).persist()
-    w = weighted(tf, sizes, ["part"], max_df, min_df, ["side", "id"])
-    return top_k(scored_pairs(w.where("side = 1").drop("side"), w.where("side = 0").drop("side"), ["part"], min_score), k, ["part", "q"])
+    w = term_weights(tf, sizes, ["part"], max_df, min_df)
+    q, d = (w.where(F.col("side") == s).select("part", "term", F.col("id").alias(x), F.col("w").alias(f"_{x}")) for s, x in ((1, "q"), (0, "d")))
+    dots = q.join(d, ["part", "term"]).groupBy("part", "q", "d").agg(F.sum(F.col("_q") * F.col("_d")).alias("_s"))
+    length = norms(w, ["part", "side"])
+    nq, nd = (length.where(F.col("side") == s).select("part", F.col("id").alias(x), F.col("norm").alias(f"_n{x}")) for s, x in ((1, "q"), (0, "d")))
+    scored = dots.join(nq, ["part", "q"]).join(nd, ["part", "d"]).select("part", "q", "d", F.round(F.col("_s") / (F.col("_nq") * F.col("_nd")), 9).alias("score"))
+    return top_k(scored.where(F.col("score") > min_score), k, ["part", "q"])
 
 
 def forward_reverse(pairs: DataFrame, k_forward: int, k_reverse: int) -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.sources.scans import spread, table
+
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; texts are dealt to all cores where the table is small."""
+    df = table(spark, sf, name)
+    return spread(df) if name == "documents" else df
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
