@@ -115,7 +115,7 @@ def recall_gate(dense: DataFrame, base: DataFrame, k: int = 3) -> DataFrame:
     have (country, q, d, rank) of true pairs."""
     a = dense.groupBy("country").agg(F.avg(F.col("rank").between(0, k - 1).cast("double")).alias("dense"))
     b = base.groupBy("country").agg(F.avg(F.col("rank").between(0, k - 1).cast("double")).alias("tfidf"))
-    return a.join(b, "country").withColumn("passed", F.col("dense") >= F.col("tfidf"))
+    return a.join(b, "country").withColumn("passed", F.round("dense", 9) >= F.round("tfidf", 9))
 
 
 def loss_split(entities: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from kinfold.operators import retrieval as rt
 from kinfold.plans import fixtures as fx
 from kinfold.plans.fixtures import ENTITIES, NAMES, PAIRS, RECORDS, RETRIEVERS, STAR, read
 from kinfold.sources import tables as tb
+from kinfold.streaming import blocking as st
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
+        if sql is not None:
             ORACLES[f.__name__] = sql
         return f
 
@@ -174,6 +175,34 @@ def _rank_sql(tail: str) -> str:
  rev as (select *, row_number() over (partition by country, src, rec order by p desc, s1) - 1 rank from pairs) {tail}"""
 
 
+@query(f"select a.vec_id q, b.vec_id d, {_DOT} cos from embeddings a join embeddings b on b.vec_id = (a.vec_id * 7 + 1) % (select count(*) from embeddings)")
+def pair_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    t = v.crossJoin(F.broadcast(n)).select(F.col("id").alias("q"), ((F.col("id") * 7 + 1) % F.col("n")).alias("d"))
+    return rt.pair_cosine(t, v, v)
+
+
+@query(f"""with s as (select a.vec_id q, b.vec_id d, {_DOT} cos from embeddings a, embeddings b where a.vec_id % 10 = 0 and b.vec_id % 10 = 5),
+ r as (select *, row_number() over (partition by q order by cos desc, d) - 1 x, row_number() over (partition by d order by cos desc, q) - 1 y from s)
+select q, d, cos, case when x < 3 then x else -1 end::int drank_rec, case when y < 5 then y else -1 end::int drank_s1 from r where x < 3 or y < 5""")
+def two_sided_dense(spark: SparkSession, sf: str) -> DataFrame:
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    records, items = v.where("id % 10 = 0"), v.where("id % 10 = 5")
+    near = rt.dense_top_k(records, items, 6).withColumn("score", r6("score"))
+    back = rt.dense_top_k(items, records, 8).select(F.col("d").alias("q"), F.col("q").alias("d"), r6("score").alias("score"))
+    return rt.two_sided(rt.top_k(near, 3, ["q"]), rt.top_k(back, 5, ["d"], tie="q"))
+
+
+@query(_rank_sql(""", alt as (select *, row_number() over (partition by country, src, rec order by (rec * 31 + s1 * 17) % 1009 desc, s1) - 1 arank from pairs),
+ g as (select a.country, avg((arank < 2)::int) dense, avg((r.rank < 2)::int) tfidf from alt a join rev r using (country, src, rec, s1) where a.label = 1 group by 1)
+ select country, round(dense, 6) dense, round(tfidf, 6) tfidf, round(dense, 9) >= round(tfidf, 9) passed from g"""))
+def recall_gate(spark: SparkSession, sf: str) -> DataFrame:
+    t = fx.pairs(spark, sf).withColumn("alt", (F.col("rec") * 31 + F.col("s1") * 17) % 1009)
+    a, b = (rt.top_k(t, 9, list(pa.REC), c, "s1").where("label = 1") for c in ("alt", "p"))
+    return ev.recall_gate(a, b, 2).withColumns({c: r6(c) for c in ("dense", "tfidf")})
+
+
 @query(_rank_sql("select 'fwd' way, country, src, s1, rec, rank::int rank from fwd where rank < 4 union all select 'rev', country, src, s1, rec, rank::int from rev where rank < 2"))
 def forward_reverse_lists(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.pairs(spark, sf)
@@ -431,6 +460,43 @@ def entity_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "customer").select(F.col("c_custkey").alias("s1"), F.round(fo.entity_uniform(F.col("c_custkey"), 11), 9).alias("u"))
 
 
+@query(f"""with {NAMES}, t as (select id, list_distinct(regexp_extract_all(a, '\\w+')) x, list_distinct(regexp_extract_all(b, '\\w+')) y from names)
+select id, round(len(list_intersect(x, y))::double / greatest(len(list_distinct(list_concat(x, y))), 1), 6) jaccard from t""")
+def word_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.name_pairs(spark, sf).select("id", r6(sim.jaccard(tx.word_tokens(F.col("a")), tx.word_tokens(F.col("b")))).alias("jaccard"))
+
+
+@query(ORACLES["entity_uniform"].replace("select s1, round(", "select s1 from (select s1, round(").replace(" u from d", " u from d) where u < 0.3"))
+def entity_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return fo.sampled(read(spark, sf, "customer").select(F.col("c_custkey").alias("s1")), 0.3, "s1", 11)
+
+
+@query(f"""with {RECORDS}, {ENTITIES}, c as (select parent s1, count(*) n from records where parent >= 0 group by 1), o as (select s1, sum(n) over (order by (s1 * 7919) % 1000003, s1) run from c)
+select parent s1, rec from records where parent in (select s1 from o where run <= (select count(*) // 4 from records))""")
+def budget_sample(spark: SparkSession, sf: str) -> DataFrame:
+    r = fx.records(spark, sf)
+    t = r.where("parent >= 0").select(F.col("parent").alias("s1"), "rec")
+    return fo.within_budget(t, "s1", r.count() // 4, F.col("s1") * 7919 % 1000003)
+
+
+@query("""select time_bucket(interval 1 day, ts) as \"day\", event_type, count(*) n from events group by 1, 2""")
+def windowed_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    return st.windowed_arrivals(read(spark, sf, "events")).select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+@query()
+def bootstrap_delta(spark: SparkSession, sf: str) -> DataFrame:
+    s = ev.per_entity(_truth(spark, sf), _pred(spark, sf), fx.entities(spark, sf))
+    b = ev.paired_bootstrap(s.select(F.col("s1").alias("key"), (F.col("f05") - 0.2).alias("d")), 200)
+    return spark.createDataFrame([(b["delta"], b["ci_low"], b["ci_high"], b["significant"], b["n_entities"], ev.verdict(b))], "delta double, ci_low double, ci_high double, significant boolean, n long, verdict string")
+
+
+@query()
+def length_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items by length, ties by id."""
+    return read(spark, sf, "benchmark").select("item_id", F.length("text").alias("n")).orderBy("n", "item_id")
+
+
 @query(f"""with {RECORDS}, {ENTITIES}, a as (select *, fold in (3, 4) and name <> '' ok from entities),
  n as (select s1, ok, count(*) over w c, coalesce(lead(s1) over (w order by s1), first(s1) over (w order by s1)) nx from a window w as (partition by name, ok))
 select s1, case when ok and c > 1 then nx else -1 end sibling from n""")
