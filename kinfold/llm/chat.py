@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import Scratch, read, session, ship
+from kinfold.llm.common import Scratch, read, released, session, ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -119,7 +119,7 @@ def format_log(events: DataFrame, learn: str = "assistant") -> DataFrame:
 
     rows = events.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", "kind", F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind", "turn", "role", "text")
-    return ordered.drop("seq").mapInArrow(stream, "conv_id long, formatted string, loss array<struct<start:long,end:long>>")
+    return ordered.drop("seq").mapInArrow(released(stream), "conv_id long, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(digest, schema)
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(released(digest), schema)
 
 
 def conversation_log(conversations: DataFrame) -> DataFrame:

@@ -17,17 +17,23 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.sources.scans import spread, table
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 """A-Z to a-z on UTF-8 bytes; every other byte stays."""
 
 SPACED = "[^\\x20\\x09-\\x0D]+"
 """A word between ASCII white space; ``bytes.split()`` cuts at the same six bytes."""
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; texts are dealt to all cores where the table is small."""
+    df = table(spark, sf_dir, name)
+    return spread(df) if name == "documents" else df
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -39,6 +45,8 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    if spark.conf.get(BATCH_BYTES, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH_BYTES, str(16 << 20))  # the default bounds rows, not bytes
     _shipped.add(app)
     top = Path(__file__).resolve().parents[1]
     out = tempfile.mkdtemp(prefix="kinfold-ship-")
@@ -50,6 +58,42 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+def runs(batch, column: int, limit: int):
+    """Slices of a record batch, in order, with about ``limit`` bytes of text in ``column`` each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def released(run):
+    """A batch function that gives freed memory back to the system at its end: workers are reused, and
+    what one stage freed would otherwise stay with them through the next."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names; a temporary one only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,6 +109,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.clear)
+
+    def clear(self) -> None:
+        """Delete all tables; at exit, or when their results are written elsewhere."""
+        if self.root.startswith(("/", "file:/")):
+            shutil.rmtree("/" + self.root.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        elif self.spark.sparkContext._jsc is not None:
+            self.drop("")
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import Scratch, read, session, ship
+from kinfold.llm.common import Scratch, read, released, runs, session, ship
 
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: i
 
     def step(tests, first: bool, last: bool, schema: pa.Schema):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in runs(whole, text_at, 1 << 21)):
                 before = None if first else list(zip(batch.column(width + 1).to_pylist(), batch.column(width).to_pylist(), strict=True))
                 found = one_pass(tests, batch.column(text_at).to_pylist(), before)
                 if not last:
@@ -196,7 +196,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: i
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-        return run
+        return released(run)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import read, session, ship
+from kinfold.llm.common import read, released, session, ship
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UND = "und"
@@ -110,7 +110,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(released(run), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -125,7 +125,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             keep = pa.array([shared.value.classify(t.as_py())[2] for t in batch.column(at)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns, schema=schema).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op1_zstd_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:

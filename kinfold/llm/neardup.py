@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import LOWER, Scratch, read, session, ship
+from kinfold.llm.common import LOWER, Scratch, read, released, runs, session, ship
 from kinfold.llm.components import components
 
 SYMBOLS, CHUNKS, WIDTH, MAX_DISTANCE, BLOCK, WORDS = 128, 8, 6, 40, 1024, 5
@@ -110,19 +110,6 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
     return int(mix(shingles + _BASE).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(shingles ^ _ODD[0])).astype(np.int64)) if len(shingles) else 0
 
 
-def some(texts: list, limit: int = 1 << 21) -> Iterator[list]:
-    """Runs of whole texts of about ``limit`` characters."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, check, sig) per row of ``docs``."""
     ship(session(docs))
@@ -130,8 +117,8 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, check, sig = [], [], [], []
-            for texts in some(batch.column(1).to_pylist()):
-                for s in shingle_sets(texts):
+            for part in runs(batch, 1, 1 << 20):
+                for s in shingle_sets(part.column(1).to_pylist()):
                     a, b = set_id(s)
                     n.append(len(s))
                     node.append(a)
@@ -139,7 +126,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "node", "check", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, node long, check long, sig binary")
 
 
 def filed(nodes: DataFrame) -> DataFrame:
@@ -216,7 +203,7 @@ def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         if found:
             yield edge_batch(list(found))
 
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+    return ordered.mapInArrow(released(run), "u long, v long").distinct()
 
 
 def confirm(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -252,7 +239,7 @@ def confirm(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratc
             if links := spanning(np.array(names), np.array([len(s) for s in sets]), sigs, left, right, holds):
                 yield edge_batch(links)
 
-    return ordered.mapInArrow(run, "u long, v long")
+    return ordered.mapInArrow(released(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import Scratch, read, session, ship
+from kinfold.llm.common import Scratch, read, released, runs, session, ship
 
 ORDER, BITS = 4, 6
 SYMBOLS = "#*$%&|<>"
@@ -126,7 +126,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs(whole, 1, 1 << 22)):
             by: dict = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
@@ -139,7 +139,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 part = keys[i : i + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int32)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], names=["lang", "gram", "n"])
 
-    partial = docs.select("lang", "text").mapInArrow(run, "lang string, gram int, n long")
+    partial = docs.select("lang", "text").mapInArrow(released(run), "lang string, gram int, n long")
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -272,7 +272,7 @@ def score(docs: DataFrame, models: dict[str | None, KneserNey], model_bytes: int
 
     def scorer(shared):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in runs(whole, 2, 1 << 22)):
                 langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 means = np.zeros(len(texts))
                 by: dict = {}
@@ -289,7 +289,7 @@ def score(docs: DataFrame, models: dict[str | None, KneserNey], model_bytes: int
                 columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([len(t or "") for t in texts], pa.int64()), pa.array(means)], names=names)
 
-        return run
+        return released(run)
 
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), None
     groups = groups_of(models, model_bytes)

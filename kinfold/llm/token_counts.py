@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import read, session, ship
+from kinfold.llm.common import read, released, session, ship
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long, score double")
+    return rows.mapInArrow(released(run), "doc_id long, n_tokens long, n_bytes long, score double")
 
 
 def default_model() -> str:

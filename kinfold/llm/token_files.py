@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import Scratch, read, session, ship, shuffle_width
+from kinfold.llm.common import Scratch, read, released, runs, session, ship, shuffle_width
 
 SEGMENT_SCHEMA = (
     "part int, seq int, plane string, n_ids long, payload binary, "
@@ -176,16 +176,6 @@ def unpack(payload: bytes, chunks: list[dict], plane: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def runs(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows with about ``limit`` bytes of text in column 1."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, plane: str = "byte", block_ids: int = 65536, segment_ids: int = 1 << 20, level: int = 3) -> DataFrame:
     """The token table's segments, in ascending doc_id order over (part, seq)."""
     ship(session(docs))
@@ -208,7 +198,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, plane: str =
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for some in runs(batch, 1 << 24):
+            for some in runs(batch, 1, 1 << 23):
                 for doc_id, raw in zip(some.column(0).to_pylist(), cache.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     held += [raw, end]
                     owners.append({"doc_id": doc_id, "n_tokens": len(raw) // 4 + 1})
@@ -221,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, plane: str =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ordered = rows.repartitionByRange(shuffle_width(session(docs)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(encode, SEGMENT_SCHEMA)
+    return ordered.mapInArrow(released(encode), SEGMENT_SCHEMA)
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
@@ -244,7 +234,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 })
 
     wanted = segments.select("part", "seq", "plane", "payload", "chunks", "docs")
-    return wanted.mapInArrow(decode, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return wanted.mapInArrow(released(decode), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
