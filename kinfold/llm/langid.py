@@ -6,8 +6,8 @@ labelled sample), and joins them into one raw-content dictionary per language. A
 and reduced to its letter runs, cut into blocks of ``block`` bytes so that long texts lean on the
 dictionary rather than on themselves, and every block is compressed with every dictionary. The
 smallest sum wins; the score is the winner's saving against the runner-up, from 0 to 1, and a text
-whose score is under ``min_margin`` is rejected. Equal sums go to the language with more training
-bytes, then to the first name.
+whose score is under ``min_margin`` is rejected. Equal sums go to the language with more labelled
+rows, then to the first name.
 
 Null texts and texts without a letter are ``und``, score 0 and rejected. With one learned language
 every text with a letter is that language, score 1. Without any, every text is ``und``. Every row is
@@ -37,8 +37,9 @@ def letters(text: str | None) -> str:
 class Model:
     """Dictionaries by language; pickles as bytes and compiles itself once per worker."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 5, block: int = 4096, min_margin: float = 0.004):
+    def __init__(self, dictionaries: dict[str, bytes], rows: dict[str, int] | None = None, level: int = 5, block: int = 4096, min_margin: float = 0.004):
         self.dictionaries, self.level, self.block, self.min_margin = dictionaries, level, block, min_margin
+        self.rows = rows or {}
         self.compressors: list | None = None
 
     def __getstate__(self):
@@ -49,7 +50,7 @@ class Model:
             import zstandard as z
 
             self.compressors = []
-            for lang in sorted(self.dictionaries, key=lambda k: (-len(self.dictionaries[k]), k)):
+            for lang in sorted(self.dictionaries, key=lambda k: (-self.rows.get(k, 0), k)):
                 d = z.ZstdCompressionDict(self.dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=self.level)
                 self.compressors.append((lang, z.ZstdCompressor(level=self.level, dict_data=d, write_checksum=False, write_content_size=False).compress))
@@ -88,7 +89,8 @@ def train(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 131_072,
         if plain and size.get(r.lang, 0) + len(plain) < dict_bytes and plain not in held.get(r.lang, ()):
             held.setdefault(r.lang, []).append(plain)
             size[r.lang] = size.get(r.lang, 0) + len(plain) + 1
-    return Model({k: b" ".join(v) for k, v in held.items()}, **options)
+    counts = {r.lang: r["count"] for r in docs.where(F.col("lang").isin(*held)).groupBy("lang").count().collect()} if held else {}
+    return Model({k: b" ".join(v) for k, v in held.items()}, counts, **options)
 
 
 def trained_on(docs: DataFrame) -> DataFrame:
