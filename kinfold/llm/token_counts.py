@@ -26,6 +26,8 @@ from kinfold.llm.common import read, released, session, ship
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+LONG = 64
+"""Words of more characters are counted anew each time, so that what is kept is bounded in bytes."""
 _counters: dict[str, "Counter"] = {}
 
 
@@ -91,9 +93,10 @@ class Counter:
                 found = (sum(p[0] for p in pieces) + lines, sum(p[1] for p in pieces) + lines * self.unknown, sum(p[2] for p in pieces) + lines)
             else:
                 found = self.viterbi(word)
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        self.new[word] = found
+        if len(word) <= LONG:
+            if len(self.new) > self.limit:
+                self.old, self.new = self.new, {}
+            self.new[word] = found
         return found
 
     def count(self, text: str | None) -> tuple[int, float, int]:

@@ -30,7 +30,7 @@ def test_odd_rows_and_empty(spark, tmp_path, exact):
     assert op8_count_viterbi(spark, table(spark, tmp_path / "e", "documents", [], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", " ", "  a", "a  b ", "a▁b", "▁", "\n", "a\n\nb \n c", "<s> <0x41></s>", "日本 \U0001f600x", "aaaaaaaaaaaaaaaaaaaaaaaa", "İß ́x", "\x1c\x85 　"])
+@pytest.mark.parametrize("text", ["", " ", "  a", "a  b ", "a▁b", "▁", "\n", "a\n\nb \n c", "<s> <0x41></s>", "日本 \U0001f600x", "a" * 300, "abc" * 5000 + " " + "abc" * 5000, "İß ́x", "\x1c\x85 　"])
 def test_awkward_texts(text, exact):
     assert counter_for(default_model()).count(text)[0] == exact(text)
 
