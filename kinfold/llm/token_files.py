@@ -37,57 +37,56 @@ _tokenizers: dict[str, "WordCache"] = {}
 
 class WordCache:
     """Ids of whole texts. The tokenizer cuts at white space and never merges across it, so each
-    white-space word is encoded by the library once and its ids are kept in two generations of
-    at most ``limit`` words. Words of lower-case letters alone are one piece to the tokenizer, whose
-    last id is an end-of-word one; many of them are encoded in one call of the same model without
-    its normaliser, which leaves them as they are, and parted at those ids. Texts are lower-cased
-    first, which the tokenizer does too, wherever the two orders give one result."""
+    white-space word is encoded by the library once and its ids are kept: words in one Arrow array,
+    ids in one flat array. Beyond ``limit`` bytes only the words of the latest run of texts stay.
 
-    def __init__(self, path: str, limit: int = 200_000):
+    Words of lower-case letters alone are one piece to the tokenizer, whose last id is an end-of-word
+    one; many of them are encoded in one call of the same model without its normaliser, which leaves
+    them as they are, and parted at those ids. Texts are lower-cased first, which the tokenizer does
+    too, wherever the two orders give one result."""
+
+    def __init__(self, path: str, limit: int = 48 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.limit = limit
+        self.words, self.ids, self.ends, self.limit = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64), limit
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self.one(m) for m in ".,"}
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        new, letters, marked = self.new, {}, []
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        known: dict[str, bytes] = {"": b""}
+        letters: dict[str, None] = {}
+        marked = []
         for w in words:
-            if not w:
-                new[w] = b""
-                continue
             if w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)):
                 letters[w] = None
-            elif w[-1] in ".," and (core := w[:-1]).isascii() and core.isalpha() and core.islower():
+            elif w and w[-1] in ".," and (core := w[:-1]).isascii() and core.isalpha() and core.islower():
                 marked.append(w)  # a letter and a mark are always two pieces
-                if core not in new:
-                    letters[core] = None
-            else:
-                new[w] = self.one(w)
+                letters[core] = None
+            elif w:
+                known[w] = self.one(w)
         plain = list(letters)
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]
             ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
             if len(ends) != len(some) or len(ids) and ends[-1] != 4 * len(ids):
-                new.update((w, self.one(w)) for w in some)
+                known.update((w, self.one(w)) for w in some)
                 continue
             raw, at = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=True):
-                new[w] = raw[at:end]
+                known[w] = raw[at:end]
                 at = end
-        if marked:
-            marks = {m: self.one(m) for m in ".,"}
-            new.update((w, new[w[:-1]] + marks[w[-1]]) for w in marked)
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        return list(map(known.__getitem__, words))
 
     @staticmethod
     def lowered(text: str) -> str:
@@ -98,39 +97,48 @@ class WordCache:
             return low
         return text
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        found = list(map(self.new.get, words))
-        if None in found:
-            at = [i for i, b in enumerate(found) if b is None]
-            missing = [words[i] for i in at]
-            if self.old:
-                known = [(w, b) for w, b in zip(missing, map(self.old.get, missing), strict=True) if b is not None]
-                self.new.update(known)
-                missing = [w for w in missing if w not in self.new] if known else missing
-            self.learn(missing)
-            for i in at:
-                found[i] = self.new[words[i]]
-        return found
+    def places(self, words: pa.StringArray) -> np.ndarray:
+        """Where distinct words stand in the kept ones; new words are learned and added."""
+        found = pc.index_in(words, value_set=self.words)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        out = found.fill_null(-1).to_numpy().astype(np.int64)
+        if new.any():
+            missing = words.filter(pa.array(new))
+            got = self.learn(missing.to_pylist())
+            out[new] = len(self.words) + np.arange(len(got))
+            self.words = pa.concat_arrays([self.words, missing])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)])
+        return out
+
+    def shrink(self, used: np.ndarray) -> None:
+        """Keep the used words alone."""
+        starts, sizes = self.ends[used], self.ends[used + 1] - self.ends[used]
+        self.words, self.ids = self.words.take(pa.array(used)), self.ids[spans(starts, sizes)]
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         split = pc.ascii_split_whitespace(pa.array([self.lowered(t) for t in texts], pa.string()))
         words = split.values.dictionary_encode()
-        found = self.ids_of(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts, which = np.cumsum(sizes) - sizes, words.indices.to_numpy()
-        counts = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.repeat(starts[which] - ends[:-1], counts)
-        at += np.arange(len(at))
-        ids = np.frombuffer(b"".join(found), "<u4")[at]
-        cuts = ends[split.offsets.to_numpy()].tolist()
+        used = self.places(words.dictionary)
+        at = used[words.indices.to_numpy()]
+        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ids = self.ids[spans(starts, sizes)]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()].tolist()
+        if self.words.nbytes + self.ids.nbytes + self.ends.nbytes > self.limit:
+            self.shrink(used)
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each span, one span after the other."""
+    before = np.cumsum(sizes) - sizes
+    out = np.repeat(starts - before, sizes)
+    out += np.arange(len(out))
+    return out
+
+
 def tokenizer_for(path: str) -> WordCache:
     if path not in _tokenizers:
         _tokenizers[path] = WordCache(path)
