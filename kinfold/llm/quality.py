@@ -1,9 +1,10 @@
-"""Quality rules: base counts and a modified Kneser-Ney n-gram model with perplexity bands.
+"""Quality rules: base counts and modified Kneser-Ney n-gram models with perplexity bands.
 
-The model is over characters in 64 classes (letters a-z, digits, white space, groups of signs, and
+Two models judge a text. The one over word trigrams (``wordmodel``) grows with the corpus and gives
+the perplexity; the one over characters tells scrambled letters from words whatever the corpus.
+The character model is over characters in 64 classes (letters a-z, digits, white space, groups of signs, and
 hashed classes of other letters), order 4: an n-gram is 24 bits and packs into one integer without
 collisions, so a language's model is proven to hold at most 2**24 n-grams, whatever the corpus.
-Word n-grams would have to be gathered, shuffled and broadcast in numbers that grow with the corpus.
 
 Counting. Tasks count the packed 4-grams of whole texts per language; Spark sums the partial counts
 by (language, n-gram). Lower orders are continuation counts of those. Discounts D1, D2, D3+ per
@@ -12,7 +13,8 @@ n-grams and looked up by binary search; unseen n-grams back off with the context
 
 Bands. The mean log probability of a text is its log perplexity. A language's band is its median
 minus ``below`` and plus ``above`` robust deviations (quartile range / 1.349, at least ``floor``),
-widened for short texts by ``1 + short / sqrt(characters)``. Texts outside are rejected.
+widened for short texts by ``1 + short / sqrt(characters)``. Texts outside are rejected, and so are
+those whose mean log probability of a word is more than ``words`` deviations below the median.
 
 Models are broadcast in groups of languages of at most ``model_bytes``; each further group is a
 further pass over its own languages' texts. Null text has no words and fails the base rules; null
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import Scratch, read, released, runs, session, ship
+from kinfold.llm.wordmodel import text_key, word_scores
 
 ORDER, BITS = 4, 6
 SYMBOLS = "#*$%&|<>"
@@ -265,9 +268,9 @@ def groups_of(models: dict, model_bytes: int) -> list[dict]:
 
 
 def score(docs: DataFrame, models: dict[str | None, KneserNey], model_bytes: int = 256 << 20) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, logp)."""
+    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, logp, key)."""
     ship(session(docs))
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, logp double"
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, logp double, key long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def scorer(shared):
@@ -287,11 +290,11 @@ def score(docs: DataFrame, models: dict[str | None, KneserNey], model_bytes: int
                         means[at[first : first + len(some)]] = (total[ends] - total[starts]) / (ends - starts)
                 base = [base_counts(t) for t in texts]
                 columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([len(t or "") for t in texts], pa.int64()), pa.array(means)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([len(t or "") for t in texts], pa.int64()), pa.array(means), batch.column(3)], names=names)
 
         return released(run)
 
-    rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), None
+    rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", text_key().alias("key")), None
     groups = groups_of(models, model_bytes)
     for group in groups:
         own = rows
@@ -310,22 +313,23 @@ def score(docs: DataFrame, models: dict[str | None, KneserNey], model_bytes: int
     return out
 
 
-def judge(scored: DataFrame, below: float = 5.0, above: float = 25.0, floor: float = 0.02, short: float = 8.0) -> DataFrame:
+def judge(scored: DataFrame, below: float = 5.0, above: float = 25.0, floor: float = 0.02, short: float = 8.0, words: float = 3.0) -> DataFrame:
     """Add perplexity, base_failed and kept. The bands are one row per language."""
-    measured = scored.where(F.col("chars") > 0).groupBy("lang").agg(F.percentile_approx("logp", [0.25, 0.5, 0.75], 10_000).alias("_q"))
-    bands = measured.select(F.col("lang").alias("_lang"), F.col("_q")[1].alias("_mid"), F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(floor)).alias("_dev"))
+    measured = scored.where(F.col("chars") > 0).groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(q) for c, q in (("logp", "_q"), ("word_logp", "_w"))])
+    bands = measured.select(F.col("lang").alias("_lang"), F.col("_q")[1].alias("_mid"), F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(floor)).alias("_dev"), (F.col("_w")[1] - F.lit(words) * F.greatest((F.col("_w")[2] - F.col("_w")[0]) / 1.349, F.lit(floor))).alias("_least"))
     wide = F.col("_dev") * (1 + F.lit(short) / F.sqrt(F.greatest(F.col("chars"), F.lit(1))))
     low, high = F.col("_mid") - F.lit(above) * wide, F.col("_mid") + F.lit(below) * wide
-    inside = F.coalesce(F.col("logp").between(low, high), F.lit(False))
+    inside = F.coalesce(F.col("logp").between(low, high) & (F.col("word_logp") >= F.col("_least")), F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     joined = scored.join(bands, scored["lang"].eqNullSafe(F.col("_lang")), "left")
-    return joined.select(*scored.columns, F.exp(-F.col("logp")).alias("perplexity"), failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return joined.select(*scored.columns, F.exp(-F.coalesce("word_logp", F.lit(0.0))).alias("perplexity"), failed.alias("base_failed"), (~failed & inside).alias("kept"))
 
 
 def rate(docs: DataFrame, **bands) -> DataFrame:
     """Counts, perplexity and verdict of every row of ``docs``."""
     scratch = Scratch(session(docs), "quality")
-    return judge(scratch.put(score(docs, train(docs, scratch)), "scored"), **bands)
+    scored = score(docs, train(docs, scratch)).join(word_scores(docs, scratch), "key", "left")
+    return judge(scratch.put(scored, "scored"), **bands)
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
