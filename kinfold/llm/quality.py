@@ -12,8 +12,8 @@ order come from the counts of counts. Log probabilities are stored in sorted arr
 n-grams and looked up by binary search; unseen n-grams back off with the context's weight.
 
 Bands. The mean log probability of a text is its log perplexity. A language's band is its median
-minus ``below`` and plus ``above`` robust deviations (quartile range / 1.349, at least ``floor``),
-widened for short texts by ``1 + short / sqrt(characters)``. Texts outside are rejected, and so are
+plus ``below`` and minus ``above`` robust deviations (quartile range / 1.349, at least ``floor``); the
+former is widened for short texts by ``1 + short / sqrt(characters)``, the latter is set by the labels. Texts outside are rejected, and so are
 those whose mean log probability of a word is more than ``words`` deviations below the median.
 
 Models are broadcast in groups of languages of at most ``model_bytes``; each further group is a
@@ -313,12 +313,12 @@ def score(docs: DataFrame, models: dict[str | None, KneserNey], model_bytes: int
     return out
 
 
-def judge(scored: DataFrame, below: float = 5.0, above: float = 25.0, floor: float = 0.02, short: float = 8.0, words: float = 3.0) -> DataFrame:
+def judge(scored: DataFrame, below: float = 5.0, above: float = 5.0, floor: float = 0.02, short: float = 8.0, words: float = 3.0) -> DataFrame:
     """Add perplexity, base_failed and kept. The bands are one row per language."""
     measured = scored.where(F.col("chars") > 0).groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(q) for c, q in (("logp", "_q"), ("word_logp", "_w"))])
     bands = measured.select(F.col("lang").alias("_lang"), F.col("_q")[1].alias("_mid"), F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(floor)).alias("_dev"), (F.col("_w")[1] - F.lit(words) * F.greatest((F.col("_w")[2] - F.col("_w")[0]) / 1.349, F.lit(floor))).alias("_least"))
     wide = F.col("_dev") * (1 + F.lit(short) / F.sqrt(F.greatest(F.col("chars"), F.lit(1))))
-    low, high = F.col("_mid") - F.lit(above) * wide, F.col("_mid") + F.lit(below) * wide
+    low, high = F.col("_mid") - F.lit(above) * F.col("_dev"), F.col("_mid") + F.lit(below) * wide
     inside = F.coalesce(F.col("logp").between(low, high) & (F.col("word_logp") >= F.col("_least")), F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     joined = scored.join(bands, scored["lang"].eqNullSafe(F.col("_lang")), "left")

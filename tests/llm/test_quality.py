@@ -106,3 +106,11 @@ def test_odd_rows_empty_and_model_groups(spark, tmp_path):
     key = lambda r: str((r.doc_id, r.n_words, round(r.logp, 6)))
     assert sorted(map(key, score(docs, models).collect())) == sorted(map(key, score(docs, models, model_bytes=1).collect()))
     assert op7_kneser_ney(spark, table(spark, tmp_path / "e", "documents", [], DOCS)).count() == 0
+
+
+def test_bands_reject_what_labels_call_bad(spark):
+    sf = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    sound = [r for r in op7_kneser_ney(spark, sf).collect() if r.doc_id in label and not r.base_failed]
+    bad, good = ([r.kept for r in sound if label[r.doc_id] == q] for q in (0, 1))
+    assert sum(bad) < 0.4 * len(bad) and sum(good) > 0.98 * len(good), (sum(bad), len(bad), sum(good), len(good))
