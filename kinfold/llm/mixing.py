@@ -6,9 +6,11 @@ Apportionment. The mix has ``total // block_words`` blocks; each goes to the sou
 highest quotient target / (2 blocks + 1), and inside a source to the shard with the highest
 quotient, so every (source, shard) cell has an integer quota of blocks.
 Selection. A cell's documents are taken whole as often as the quota covers the cell, and the rest
-of the quota is filled in seeded hash order; the words still missing are filled by the largest
-documents that fit, none more than ``max_repeat`` times, so cells end within a small document of
-their quota.
+of the quota is filled in seeded hash order, passing over documents that are too long for it; the
+words still missing are filled by the largest documents that fit, none more than ``max_repeat``
+times, until nothing fits. What cells then lack is pooled by source and granted to the source's
+cells that hold documents which fit into the pool, until none does. So a source ends within its
+smallest document that may still be repeated of its quota.
 
 The driver handles one row per source and at most ``max_cells`` rows of cells, never documents.
 Documents without words are never taken more than needed: their ``taken`` is 0. Null sources are a
@@ -64,7 +66,7 @@ def apportion(wanted: list[float], seats: int, limits: list[int] | None = None)
     return got
 
 
-def mix(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 16, max_cells: int = 100_000, max_repeat: int = 3, seed: int = 5, fits: int = 4) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 16, max_cells: int = 100_000, max_repeat: int = 3, seed: int = 5) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken), one per row of ``docs``."""
     spark, scratch = session(docs), Scratch(session(docs), "mixing")
     rows = scratch.put(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
@@ -97,22 +99,53 @@ def mix(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 16, max_
 
     on = dealt["source"].eqNullSafe(quota["source"]) & (dealt["_shard"] == quota["_shard"])
     cell = dealt.join(F.broadcast(quota) if len(quotas) <= max_cells else quota, on).drop(quota["source"]).drop(quota["_shard"])
-    order = W.partitionBy("source", "_shard").orderBy("_h", "doc_id", "size")
-    end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    state = cell.withColumn("_end", end).withColumn("_n", F.col("_full") + ((F.col("size") > 0) & (F.col("_end") <= F.col("_rest"))).cast("long"))
-    whole, goal = W.partitionBy("source", "_shard"), F.col("_full") * F.sum("size").over(W.partitionBy("source", "_shard")) + F.col("_rest")
-    state = state.withColumn("_goal", goal)
-    for _ in range(fits):  # the largest document that fits into what is left of each cell, as often as it may
-        state = state.withColumn("_left", F.col("_goal") - F.sum(F.col("size") * F.col("_n")).over(whole))
-        fit = (F.col("size") > 0) & (F.col("size") <= F.col("_left")) & (F.col("_n") < max_repeat)
-        best = F.max(F.when(fit, F.struct("size", "_end", "_h"))).over(whole)
-        chosen = fit & F.coalesce(F.struct("size", "_end", "_h") == best, F.lit(False))
-        often = F.least(F.lit(max_repeat) - F.col("_n"), F.expr("_left div greatest(size, 1)"))
-        state = state.withColumn("_n", F.col("_n") + F.when(chosen, often).otherwise(0))
+    total_words = F.sum("size").over(W.partitionBy("source", "_shard"))
+    state = cell.withColumn("_n", F.col("_full")).withColumn("_goal", F.col("_full") * total_words + F.col("_rest")).drop("_full", "_rest")
+    state = scratch.put(filled(filled(state, max_repeat, F.col("_h")), max_repeat, F.desc("size"), rounds=4), "filled0")
+    turn = 0
+    while grants := pooled(state, max_repeat):
+        more = spark.createDataFrame(grants, "source string, _shard int, _more long")
+        on = state["source"].eqNullSafe(more["source"]) & (state["_shard"] == more["_shard"])
+        used = F.sum(F.col("size") * F.col("_n")).over(W.partitionBy("source", "_shard"))
+        given = state.join(F.broadcast(more) if len(grants) <= max_cells else more, on, "left").drop(more["source"]).drop(more["_shard"])
+        given = given.withColumn("_goal", used + F.coalesce("_more", F.lit(0))).drop("_more")
+        state = scratch.put(filled(given, max_repeat, F.desc("size"), rounds=4), f"filled{turn + 1}")
+        scratch.drop(f"filled{turn}")
+        turn += 1
     taken = F.col("size") * F.col("_n")
     return state.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
+def filled(state: DataFrame, max_repeat: int, first, rounds: int = 1) -> DataFrame:
+    """Take documents that fit into what is left of their cell once more, in order, up to its goal.
+    Largest first, a round takes more than half of what is left or all that fit."""
+    cell = W.partitionBy("source", "_shard")
+    order = cell.orderBy(first, "_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    for _ in range(rounds):
+        state = state.withColumn("_left", F.col("_goal") - F.sum(F.col("size") * F.col("_n")).over(cell))
+        state = state.withColumn("_fit", (F.col("size") > 0) & (F.col("size") <= F.col("_left")) & (F.col("_n") < max_repeat))
+        state = state.withColumn("_end", F.sum(F.when(F.col("_fit"), F.col("size")).otherwise(0)).over(order))
+        state = state.withColumn("_n", F.col("_n") + (F.col("_fit") & (F.col("_end") <= F.col("_left"))).cast("long"))
+    return state.drop("_left", "_fit", "_end")
+
+
+def pooled(state: DataFrame, max_repeat: int) -> list[tuple]:
+    """(source, shard, words) to take on top, from what each source lacks; cells with most room first,
+    so that a turn takes at least half of a source's pool or all that fits. Empty when nothing fits."""
+    used = state.groupBy("source", "_shard").agg((F.max("_goal") - F.sum(F.col("size") * F.col("_n"))).alias("_lack"))
+    pool = used.groupBy("source").agg(F.sum("_lack").alias("_pool"))
+    on = state["source"].eqNullSafe(pool["source"])
+    free = state.join(F.broadcast(pool), on).drop(pool["source"]).where((F.col("size") > 0) & (F.col("size") <= F.col("_pool")) & (F.col("_n") < max_repeat))
+    rooms = free.groupBy("source", "_shard").agg(F.sum((F.lit(max_repeat) - F.col("_n")) * F.col("size")).alias("_room"), F.max("_pool").alias("_pool")).collect()
+    left, out = {r.source: r["_pool"] for r in rooms}, []
+    for r in sorted(rooms, key=lambda r: (-r["_room"], r["_shard"])):
+        words = min(left[r.source], r["_room"])
+        left[r.source] -= words
+        if words > 0:
+            out.append((r.source, r["_shard"], words))
+    return out
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, columns unchanged. Rows with one doc_id
     and one size are taken alike, as the mix takes the first of them; rows without words are left

@@ -63,3 +63,17 @@ def test_apportion_is_the_seat_by_seat_method():
     for w in ([5.0, 3.0, 1.0], [100.0, 1.0, 1.0, 1.0], [7.0, 7.0, 7.0], [0.0, 2.0], [53.0, 24.0, 23.0], [1e6] + [1.0] * 50):
         for seats in (0, 1, 2, 5, 10, 99):
             assert apportion(w, seats) == plain(w, seats), (w, seats)
+
+
+def test_a_long_document_shuts_out_no_others(spark):
+    def mixture(long, shard_words=1 << 16):
+        rows = [(0, "w " * long, "a")] + [(i, "w " * 300, "a") for i in range(1, 301)] + [(i, "w " * 500, "b") for i in range(400, 520)]
+        out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=shard_words).collect()
+        return sum(r.taken for r in out if r.source == "b"), sum(r.taken for r in out if r.source == "a"), out
+
+    for long, shard_words in ((20_000, 1 << 14), (100_000, 1 << 14), (100_000, 1 << 16), (1_000_000, 1 << 16)):
+        b, a, out = mixture(long, shard_words)
+        for name, got in (("a", a), ("b", b)):
+            own = [r for r in out if r.source == name]
+            lack = own[0].target - got
+            assert abs(lack) < 64 or lack < min(r["size"] for r in own if r.taken < 3 * r["size"]), (long, name, lack)
