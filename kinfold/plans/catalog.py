@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions import similarity as sim
@@ -419,9 +420,8 @@ def error_anatomy(spark: SparkSession, sf: str) -> DataFrame:
  (select round(avg(hit::int), 6) pair_recall, round(avg(hit::int) filter (script > 0), 6) recall_other_script, round(avg(hit::int) filter (name_jacc < 0.25), 6) recall_low_name from h)"""))
 def audit_config(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.pairs(spark, sf)
-    fwd, rev = rt.top_k(t, 9_999, list(pa.ENT_SRC), "p", "rec"), rt.top_k(t, 9_999, list(pa.REC), "p", "s1")
-    keys = ["country", "src", "rec", "s1"]
-    both = fwd.select(*keys, "label", F.col("rank").alias("NA_fwd")).join(rev.select(*keys, F.col("rank").alias("NA_rev")), keys)
+    ways = (("NA_fwd", list(pa.ENT_SRC), "rec"), ("NA_rev", list(pa.REC), "s1"))
+    both = t.withColumns({name: F.row_number().over(W.partitionBy(*per).orderBy(F.desc("p"), tie)) - 1 for name, per, tie in ways})
     config = ev.parse_config("NA:f2,NA:r1")
     ranks = both.where("label = 1").select("s1", "NA_fwd", "NA_rev", (F.col("src") == 3).cast("int").alias("script"), (F.col("rec") % 7 / 7.0).alias("name_jacc"))
     out = ev.audit(ranks, fx.entities(spark, sf), both.where(ev.reachable(config)), config)

@@ -207,3 +207,19 @@ def test_calibration_and_combiner(spark):
     assert len(new) == 500 and all(r.p_new == r.p for r in new if r.s is None)
     with pytest.raises(ValueError):
         le.combined(t.limit(10), t)
+
+
+def test_audit_config_ranks_all_pairs_of_a_large_customer(spark, tmp_path):
+    import duckdb
+
+    from kinfold.plans import catalog
+
+    spark.range(1, 31).selectExpr("id as c_custkey", "concat('c', id) as c_name", "'m' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 24_001).selectExpr("id * 3 as o_orderkey", "if(id % 50 = 0, id % 29 + 1, 7) as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.QUERIES["audit_config"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    for t in ("customer", "orders"):
+        duck.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = duck.execute(catalog.ORACLES["audit_config"])
+    names = [d[0] for d in want.description]
+    assert [tuple(float(v) for v in r) for r in got.select(*names).collect()] == [tuple(float(v) for v in r) for r in want.fetchall()]
