@@ -77,8 +77,8 @@ def text_probes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def transliterate(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents beside one romanised Indic sample each; rows without Indic letters pass through."""
-    return read(spark, sf, "documents").select("doc_id", tx.transliterate(F.concat(F.lit("विजन "), F.col("lang"))).alias("latin"))
+    """Whole texts, each behind one Indic sample word, romanised; letters of other scripts pass through."""
+    return read(spark, sf, "documents").select("doc_id", tx.transliterate(F.concat(F.lit("विजन "), F.col("text"))).alias("latin"))
 
 
 @query()
