@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -95,9 +96,12 @@ def released(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set (tests)."""
+    """The shared folder the session names. Where none is set, a session with all its threads in one
+    machine (tests) gets a temporary one; on a cluster that is an error, for executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinfold-work-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -113,14 +117,14 @@ class Scratch:
 
     def clear(self) -> None:
         """Delete all tables; at exit, or when their results are written elsewhere."""
-        if self.root.startswith(("/", "file:/")):
-            shutil.rmtree("/" + self.root.removeprefix("file:").lstrip("/"), ignore_errors=True)
-        elif self.spark.sparkContext._jsc is not None:
+        if self.spark.sparkContext._jsc is not None:
             self.drop("")
+        elif self.root.startswith("file:"):
+            shutil.rmtree("/" + self.root.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -129,6 +133,16 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def repeated(rows: DataFrame, times: str, index: str, chunk: int = 10_000) -> DataFrame:
+    """Every row ``times`` times, numbered from 0 in ``index``. Rows with more than ``chunk`` repeats are
+    cut into chunks that are dealt to all tasks first, so no array is long and no task makes them all."""
+    n, few = F.col(times), rows.where(F.col(times).between(1, chunk))
+    small = few.withColumn(index, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    starts = rows.where(n > chunk).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(chunk).cast("long"))))
+    large = starts.repartition(shuffle_width(session(rows))).withColumn(index, F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + chunk, n) - 1))).drop("_at")
+    return small.unionByName(large)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,21 +1,24 @@
 """Source mixing by Sainte-Laguë apportionment of equal-token blocks.
 
-Targets. Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share all words;
-a target stops at ``max_repeat`` times its source's size and the excess is reshared by weight.
-Apportionment. The mix has ``total // block_words`` blocks; each goes to the source with the
-highest quotient target / (2 blocks + 1), and inside a source to the shard with the highest
-quotient, so every (source, shard) cell has an integer quota of blocks.
-Selection. A cell's documents are taken whole as often as the quota covers the cell, and the rest
-of the quota is filled in seeded hash order, passing over documents that are too long for it; the
-words still missing are filled by the largest documents that fit, none more than ``max_repeat``
-times, until nothing fits. What cells then lack is pooled by source and granted to the source's
-cells that hold documents which fit into the pool, until none does. So a source ends within its
-smallest document that may still be repeated of its quota.
-
-The driver handles one row per source and at most ``max_cells`` rows of cells, never documents.
-Documents without words are never taken more than needed: their ``taken`` is 0. Null sources are a
-source of their own. Repeated rows are separate documents; ties in the seeded order are broken by
-doc_id and size. An empty table gives an empty mix.
+Targets. Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share all words; a
+target stops at ``max_repeat`` times its source's size and the excess is reshared by weight.
+
+Apportionment. The mix has one block for every ``block_words`` words of all documents; each goes to
+the source with the highest quotient target / (2 blocks + 1), and inside a source to the shard with the
+highest quotient of its words, so every (source, shard) cell has an integer quota of blocks.
+
+Selection. A cell's documents stand in seeded hash order, their words one after the other, cut into
+equal blocks. The quota takes blocks from the first on, and from the first again where it is larger
+than the cell, up to ``max_repeat`` rounds. So a cell's mix is some whole rounds, the documents before
+the cut once more, and the words before the cut of the one document it falls into.
+
+Shards. A source has a shard for every ``shard_words`` of its words; beyond ``max_cells`` shards in all,
+shards hold as many more words as that needs. The driver handles a row per source (at most
+``max_cells``, else an error) and a row per cell, never documents.
+
+Documents without words take no part: their ``taken`` is 0, and ``mixed`` leaves them as they are. Null
+sources are a source of their own. Repeated rows are separate documents that stand together; they are
+carried as one row with a count. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -23,26 +26,28 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import Scratch, read, session, word_count
+from kinfold.llm.common import SPACED, Scratch, read, repeated, session, word_count
 
 WEIGHTS = (5, 2, 1)
+PIECE = "[\\x20\\x09-\\x0D]*+" + SPACED + "+"
+"""A word with the white space before it."""
 
 
 def targets(sizes: list[int], weights: list[int], max_repeat: int = 3) -> list[float]:
-    """Shares of the total by weight, none above ``max_repeat`` times its size."""
-    total, caps = sum(sizes), [max_repeat * s for s in sizes]
-    capped: set[int] = set()
-    while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        left, weight = total - sum(caps[i] for i in capped), sum(weights[i] for i in free)
-        over = [i for i in free if Fraction(left * weights[i], weight) > caps[i]]
-        if not over:
-            return [float(caps[i]) if i in capped else left * weights[i] / weight for i in range(len(sizes))]
-        capped.update(over)
+    """Shares of the total by weight, none above ``max_repeat`` times its size: sources are capped from
+    the least size for its weight on, while the share that is left to them exceeds their cap."""
+    left, weight, caps = sum(sizes), sum(weights), [max_repeat * s for s in sizes]
+    out: dict[int, float] = {}
+    for i in sorted(range(len(sizes)), key=lambda i: Fraction(caps[i], weights[i])):
+        if left * weights[i] <= caps[i] * weight:
+            break
+        out[i] = float(caps[i])
+        left, weight = left - caps[i], weight - weights[i]
+    return [out[i] if i in out else left * weights[i] / weight for i in range(len(sizes))]
 
 
 def apportion(wanted: list[float], seats: int, limits: list[int] | None = None) -> list[int]:
@@ -66,97 +71,118 @@ def apportion(wanted: list[float], seats: int, limits: list[int] | None = None)
     return got
 
 
-def mix(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 16, max_cells: int = 100_000, max_repeat: int = 3, seed: int = 5) -> DataFrame:
+def narrow(docs: DataFrame, seed: int) -> DataFrame:
+    """(source, size, h) of every row: ``h`` orders a cell and is alike for repeated rows alone."""
+    size = word_count(F.col("text"))
+    return docs.select("doc_id", "source", size.alias("size"), order_hash(size, seed).alias("h"))
+
+
+def order_hash(size: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0")), "doc_id", "text", size)
+
+
+def shard_of(h: Column, shards: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(h, F.lit(seed)), shards).cast("int")
+
+
+class Plan:
+    """What a mix takes: ``sources`` (source, shards, source_size, target), ``groups`` (source, doc_id,
+    size, h, n rows alike) and ``cells`` (source, shard, full, at, cut): all documents of the cell
+    ``full`` times, those whose h is before ``at`` once more, and ``cut`` words of those at ``at``."""
+
+    def __init__(self, docs: DataFrame, block_words: int, shard_words: int, max_cells: int, max_repeat: int, seed: int):
+        self.spark, self.seed, self.max_repeat = session(docs), seed, max_repeat
+        scratch = Scratch(self.spark, "mixing")
+        alike = narrow(docs, seed).groupBy("source", "doc_id", "size", "h").agg(F.count(F.lit(1)).alias("n"))
+        self.groups = scratch.put(alike, "groups")
+        found = self.groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(max_cells + 1).collect()
+        if len(found) > max_cells:
+            raise ValueError(f"more than {max_cells} sources; raise max_cells")
+        found.sort(key=lambda r: (r.source is None, r.source or ""))
+        sizes = [r.words for r in found]
+        total = sum(sizes)
+        wanted = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))], max_repeat) if total else [0.0] * len(sizes)
+        per_shard = max(shard_words, -(-total // max_cells))
+        rows = [(r.source, max(1, n // per_shard), n, t) for r, n, t in zip(found, sizes, wanted, strict=True)]
+        self.sources = self.spark.createDataFrame(rows, "source string, shards int, source_size long, target double")
+        placed = self.on_source(self.groups.where("size > 0")).withColumn("shard", shard_of(F.col("h"), F.col("shards"), seed))
+        of: dict = {}
+        for c in placed.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect():
+            of.setdefault(c.source, []).append((c["shard"], c.words))
+        quotas = []
+        for r, q in zip(found, apportion(wanted, total // block_words), strict=True):
+            own = sorted(of.get(r.source, []))
+            for (shard, n), blocks in zip(own, apportion([float(n) for _, n in own], q), strict=True):
+                words = min(max_repeat * n, blocks * block_words)
+                quotas.append((r.source, shard, words // n, words % n))
+        quota = self.spark.createDataFrame(quotas, "source string, shard int, full long, rest long")
+        before = W.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+        start = placed.withColumn("start", F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0)))
+        inside = self.on_cell(start, quota).where("start <= rest and rest < start + size * n")
+        one = inside.groupBy("source", "shard").agg(F.max("full").alias("full"), F.max("h").alias("at"), F.max(F.col("rest") - F.col("start")).alias("cut"))
+        self.cells = scratch.put(one.coalesce(1), "cells")
+
+    def on_source(self, rows: DataFrame) -> DataFrame:
+        s = F.broadcast(self.sources.withColumnRenamed("source", "_source"))
+        return rows.join(s, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
+
+    @staticmethod
+    def on_cell(rows: DataFrame, cells: DataFrame) -> DataFrame:
+        c = F.broadcast(cells.withColumnsRenamed({"source": "_source", "shard": "_shard"}))
+        return rows.join(c, rows["source"].eqNullSafe(F.col("_source")) & (rows["shard"] == F.col("_shard")), "left").drop("_source", "_shard")
+
+    def decided(self, rows: DataFrame) -> DataFrame:
+        """Add source_size, target, ``copies``, and ``cut``: words that all rows alike share, where the cut is."""
+        at = self.on_cell(self.on_source(rows).withColumn("shard", shard_of(F.col("h"), F.col("shards"), self.seed)), self.cells)
+        on = (F.col("size") > 0) & F.col("at").isNotNull()
+        copies = F.when(on, F.col("full") + (F.col("h") < F.col("at")).cast("long")).otherwise(F.lit(0).cast("long"))
+        return at.withColumns({"copies": copies, "cut": F.when(on & (F.col("h") == F.col("at")), F.col("cut")).otherwise(F.lit(0).cast("long"))}).drop("shards", "shard", "full", "at")
+
+
+def extra(index: str) -> Column:
+    """Words of the cut that go to the row with this number among the rows alike."""
+    return F.greatest(F.least(F.col("cut") - F.col(index) * F.col("size"), F.col("size")), F.lit(0))
+
+
+def mix(docs: DataFrame, block_words: int = 32, shard_words: int = 1 << 16, max_cells: int = 100_000, max_repeat: int = 3, seed: int = 5) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken), one per row of ``docs``."""
-    spark, scratch = session(docs), Scratch(session(docs), "mixing")
-    rows = scratch.put(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    schema = "source string, shards int, source_size long, target double"
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r.n for r in found]
-    total = sum(sizes)
-    wanted = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))], max_repeat) if total else [0.0] * len(sizes)
-    per_shard = max(shard_words, -(-total // max_cells))
-    shards = [max(1, s // per_shard) for s in sizes]
-    table = spark.createDataFrame([(r.source, k, n, t) for r, k, n, t in zip(found, shards, sizes, wanted, strict=True)], schema)
-    h = F.xxhash64(F.lit(seed), "doc_id", "size")
-    dealt = rows.withColumn("_h", h).join(F.broadcast(table) if len(found) <= max_cells else table, rows["source"].eqNullSafe(table["source"])).drop(table["source"])
-    dealt = scratch.put(dealt.withColumn("_shard", F.pmod(F.xxhash64("_h", F.lit(seed)), F.col("shards")).cast("int")), "dealt")
-
-    cells = dealt.groupBy("source", "_shard").agg(F.sum("size").alias("n")).collect()
-    of: dict = {}
-    for c in cells:
-        of.setdefault(c.source, []).append((c["_shard"], c.n))
-    quotas, seats = [], apportion(wanted, total // block_words)
-    for r, q, t in zip(found, seats, wanted, strict=True):
-        own = sorted(of[r.source])
-        for (shard, n), blocks in zip(own, apportion([float(n) for _, n in own], q), strict=True):
-            words = min(max_repeat * n, blocks * block_words)
-            if len(own) == 1:  # a whole source in one shard has its target, not a rounding of it
-                words = min(max_repeat * n, round(t))
-            quotas.append((r.source, shard, words // n if n else 0, words % n if n else 0))
-    quota = spark.createDataFrame(quotas, "source string, _shard int, _full long, _rest long")
-
-    on = dealt["source"].eqNullSafe(quota["source"]) & (dealt["_shard"] == quota["_shard"])
-    cell = dealt.join(F.broadcast(quota) if len(quotas) <= max_cells else quota, on).drop(quota["source"]).drop(quota["_shard"])
-    total_words = F.sum("size").over(W.partitionBy("source", "_shard"))
-    state = cell.withColumn("_n", F.col("_full")).withColumn("_goal", F.col("_full") * total_words + F.col("_rest")).drop("_full", "_rest")
-    state = scratch.put(filled(filled(state, max_repeat, F.col("_h")), max_repeat, F.desc("size"), rounds=4), "filled0")
-    turn = 0
-    while grants := pooled(state, max_repeat):
-        more = spark.createDataFrame(grants, "source string, _shard int, _more long")
-        on = state["source"].eqNullSafe(more["source"]) & (state["_shard"] == more["_shard"])
-        used = F.sum(F.col("size") * F.col("_n")).over(W.partitionBy("source", "_shard"))
-        given = state.join(F.broadcast(more) if len(grants) <= max_cells else more, on, "left").drop(more["source"]).drop(more["_shard"])
-        given = given.withColumn("_goal", used + F.coalesce("_more", F.lit(0))).drop("_more")
-        state = scratch.put(filled(given, max_repeat, F.desc("size"), rounds=4), f"filled{turn + 1}")
-        scratch.drop(f"filled{turn}")
-        turn += 1
-    taken = F.col("size") * F.col("_n")
-    return state.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
-
-
-def filled(state: DataFrame, max_repeat: int, first, rounds: int = 1) -> DataFrame:
-    """Take documents that fit into what is left of their cell once more, in order, up to its goal.
-    Largest first, a round takes more than half of what is left or all that fit."""
-    cell = W.partitionBy("source", "_shard")
-    order = cell.orderBy(first, "_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    for _ in range(rounds):
-        state = state.withColumn("_left", F.col("_goal") - F.sum(F.col("size") * F.col("_n")).over(cell))
-        state = state.withColumn("_fit", (F.col("size") > 0) & (F.col("size") <= F.col("_left")) & (F.col("_n") < max_repeat))
-        state = state.withColumn("_end", F.sum(F.when(F.col("_fit"), F.col("size")).otherwise(0)).over(order))
-        state = state.withColumn("_n", F.col("_n") + (F.col("_fit") & (F.col("_end") <= F.col("_left"))).cast("long"))
-    return state.drop("_left", "_fit", "_end")
-
-
-def pooled(state: DataFrame, max_repeat: int) -> list[tuple]:
-    """(source, shard, words) to take on top, from what each source lacks; cells with most room first,
-    so that a turn takes at least half of a source's pool or all that fits. Empty when nothing fits."""
-    used = state.groupBy("source", "_shard").agg((F.max("_goal") - F.sum(F.col("size") * F.col("_n"))).alias("_lack"))
-    pool = used.groupBy("source").agg(F.sum("_lack").alias("_pool"))
-    on = state["source"].eqNullSafe(pool["source"])
-    free = state.join(F.broadcast(pool), on).drop(pool["source"]).where((F.col("size") > 0) & (F.col("size") <= F.col("_pool")) & (F.col("_n") < max_repeat))
-    rooms = free.groupBy("source", "_shard").agg(F.sum((F.lit(max_repeat) - F.col("_n")) * F.col("size")).alias("_room"), F.max("_pool").alias("_pool")).collect()
-    left, out = {r.source: r["_pool"] for r in rooms}, []
-    for r in sorted(rooms, key=lambda r: (-r["_room"], r["_shard"])):
-        words = min(left[r.source], r["_room"])
-        left[r.source] -= words
-        if words > 0:
-            out.append((r.source, r["_shard"], words))
-    return out
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, columns unchanged. Rows with one doc_id
-    and one size are taken alike, as the mix takes the first of them; rows without words are left
-    as they are, for the mix has no say over them."""
-    words = word_count(F.col("text"))
-    times = F.when(F.col("size") > 0, F.expr("taken div greatest(size, 1)")).otherwise(1)
-    taken = mix(docs, **options).withColumn("_times", times.cast("int"))
-    often = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("_times").alias("_times"))
-    rows = docs.withColumn("_words", words)
-    joined = rows.join(often, rows["doc_id"].eqNullSafe(often["_id"]) & (rows["_words"] == often["_size"]))
-    return joined.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    plan = Plan(docs, block_words, shard_words, max_cells, max_repeat, seed)
+    rows = repeated(plan.decided(plan.groups), "n", "_i")
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + extra("_i")).alias("taken"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to its ``n``-th word, white space as it was."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def mixed(docs: DataFrame, block_words: int = 32, shard_words: int = 1 << 16, max_cells: int = 100_000, max_repeat: int = 3, seed: int = 5, length: str = "n_chars") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it whole, and one row in each cell cut at the
+    word where the last block ends (a column named ``length`` then has the cut text's characters).
+    Columns unchanged; rows without words are left as they are. Texts are not shuffled: a row's share
+    follows from its own hash and its cell's row, which is broadcast."""
+    plan = Plan(docs, block_words, shard_words, max_cells, max_repeat, seed)
+    size = word_count(F.col("text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, F.col("source").alias("source"), size.alias("size"), order_hash(size, seed).alias("h"))
+    rows = plan.decided(rows)
+    kept = rows.select("doc", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("copies")).where("copies > 0")
+    out = kept.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc")
+    # rows at the cut: repeated rows are numbered in buckets, on a table so that numbers and offsets agree
+    many = F.broadcast(plan.groups.where("n > 1").join(F.broadcast(plan.cells.where("cut > 0").select(F.col("at").alias("h"))), "h", "left_semi").select("h", F.col("n")))
+    at = rows.where("cut > 0")
+    single = at.join(many, "h", "left_anti").withColumn("_i", F.lit(0).cast("long"))
+    salted = Scratch(plan.spark, "cuts").put(at.join(many.select("h"), "h", "left_semi").withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")), "rows")
+    ahead = W.partitionBy("h").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = salted.groupBy("h", "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    numbered = salted.withColumn("_r", F.row_number().over(W.partitionBy("h", "_b").orderBy("size"))).join(F.broadcast(offsets), ["h", "_b"]).withColumn("_i", F.col("_o") + F.col("_r") - 1)
+    cut = single.select("doc", "size", "cut", "_i").unionByName(numbered.select("doc", "size", "cut", "_i")).withColumn("_w", extra("_i")).where("_w > 0")
+    text = F.when(F.col("_w") == F.col("size"), F.col("doc.text")).otherwise(first_words(F.col("doc.text"), F.col("_w")))
+    parts = [
+        text.alias(c) if c == "text" else F.when(F.col("_w") == F.col("size"), F.col(f"doc.`{c}`")).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == length else F.col(f"doc.`{c}`").alias(c)
+        for c in docs.columns
+    ]
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns]).unionByName(cut.select(*parts))
 
 
 def op9_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
