@@ -1,27 +1,28 @@
 """Near duplicates: b-bit MinHash signatures joined by a multi-index Hamming join.
 
 Signature. A document's set holds the 64-bit hashes of its distinct 5-word shingles (A-Z lower-cased,
-words between ASCII white space; fewer words: the whole sequence). 128 one-byte MinHash symbols are
-its signature; documents with equal sets are one node.
-
-Join. The first 48 symbols are cut into 8 chunks of 6. By pigeonhole two signatures that differ in at
-most 15 of the 48 have a chunk with at most one error. Every node is filed under each chunk with each
-symbol left out in turn (48 keys), so all pairs under that distance meet; at a similarity of 0.85 a
-pair with more differences still meets in all but 6 of a million cases, since only a pair with two
-errors in every chunk is missed. A pair counts if the whole signatures differ in at most 40 symbols
-(more at 0.85: 2 of a million) and the sizes allow 0.85. Every pair of a key is looked at, but only
-edges that join two of the key's clusters become rows: at most one less than the key has nodes.
-
-Keys with many nodes are cut into blocks and every pair of blocks is a group of its own, so no task
-holds more than two blocks and no pair is left out.
-
-Check. The components of those edges (again in blocks) bring each text to one task once, where all
-their close pairs are confirmed on full sets, except pairs that confirmed links have joined already.
-Links that join two clusters become rows and give the final components, named by their least doc_id.
-
-Documents without words are linked with nothing and name themselves. Rows without doc_id count in
-their set's group but cannot name it; a set with only such rows is linked with nothing, has no
-component_id and is kept. Rows with one doc_id and different texts are separate nodes.
+words between ASCII white space; fewer words: the whole sequence). 96 one-byte MinHash symbols are its
+signature; documents with equal sets are one node.
+
+Join. The symbols are cut into 16 chunks of 6. By pigeonhole two signatures that differ in at most 31
+symbols have a chunk with at most one error, so filing every node under each chunk with each symbol left
+out in turn (96 keys) brings all pairs under that distance together: index and filter have one threshold.
+At a similarity of 0.85 a pair exceeds it in 5 of a million cases.
+
+Groups. ``spanning_links`` finds links that join all of a group's close pairs. A group of up to ``SMALL``
+nodes is one task's. In a larger one every node is compared with a hub first, then with a hub of those
+that no hub took, as long as that halves them. What the links have joined is left out; only pairs of
+different components remain, and those are dealt as pairs of blocks with one side outside the group's
+largest component. So a large group of near copies costs a few rows a node, no pair is left out, and
+pairs inside a component are never enumerated.
+
+Check. The same is done for the components of the candidate edges, with pairs confirmed on full sets.
+Links that hold give the final components, named by their least doc_id.
+
+Documents without words are linked with nothing and name themselves. Rows without doc_id are linked as
+others are but cannot name a component; one with only such rows has no component_id, and its rows are
+kept. Rows with one doc_id and different texts are separate nodes. ``deduplicated`` keeps one row of
+each component (least doc_id, then first row) and all rows without words.
 """
 
 from __future__ import annotations
@@ -32,12 +33,17 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import LOWER, Scratch, read, released, runs, session, ship
 from kinfold.llm.components import components
 
-SYMBOLS, CHUNKS, WIDTH, MAX_DISTANCE, BLOCK, WORDS = 128, 8, 6, 40, 1024, 5
+CHUNKS, WIDTH, ERRORS, WORDS = 16, 6, 1, 5
+SYMBOLS = CHUNKS * WIDTH
+MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
+SMALL, BLOCK, HEAVY = 128, 512, 1 << 15
+"""Nodes of a group that one task takes whole, nodes of a block, shingles that count as a node more."""
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
 _ODD = _rng.integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,39 +116,40 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
     return int(mix(shingles + _BASE).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(shingles ^ _ODD[0])).astype(np.int64)) if len(shingles) else 0
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, check, sig) per row of ``docs``."""
-    ship(session(docs))
+def sketch(rows: DataFrame) -> DataFrame:
+    """(_row, doc_id, n_shingles, node, check, sig) per row (_row, doc_id, text)."""
+    ship(session(rows))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, check, sig = [], [], [], []
-            for part in runs(batch, 1, 1 << 20):
-                for s in shingle_sets(part.column(1).to_pylist()):
+            for part in runs(batch, 2, 1 << 20):
+                for s in shingle_sets(part.column(2).to_pylist()):
                     a, b = set_id(s)
                     n.append(len(s))
                     node.append(a)
                     check.append(b)
                     sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "node", "check", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], names=["_row", "doc_id", "n_shingles", "node", "check", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, node long, check long, sig binary")
+    return rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "_row long, doc_id long, n_shingles long, node long, check long, sig binary")
 
 
 def filed(nodes: DataFrame) -> DataFrame:
-    """(node, slot, key): each chunk of the signature with each of its symbols left out."""
+    """(node, key): each chunk of the signature with each of its symbols left out."""
     keys = []
-    for slot in range(CHUNKS * WIDTH):
+    for slot in range(SYMBOLS):
         chunk, out = divmod(slot, WIDTH)
         first = chunk * WIDTH + 1
         keys.append(F.xxhash64(F.lit(slot), F.substring("sig", first, out), F.substring("sig", first + out + 1, WIDTH - 1 - out)))
-    return nodes.select("node", F.posexplode(F.array(*keys)).alias("slot", "key"))
+    return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def spanning(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, holds=None) -> list[tuple[int, int]]:
+def spanning(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, holds=None, label=None) -> list[tuple[int, int]]:
     """Edges over close pairs (left, right) that ``holds`` accepts, one for each time two clusters meet.
-    Pairs inside a cluster are not looked at again; ``right`` may be ``left``, and nodes ascend."""
-    label, out = np.arange(len(nodes)), []
+    Pairs inside a cluster are not looked at; ``label`` names the clusters there are already. ``right``
+    may be ``left``, and nodes ascend."""
+    label, out = np.arange(len(nodes)) if label is None else label, []
     for i in left:
         js = right[right > i] if left is right else right
         js = js[label[js] != label[i]]
@@ -158,6 +165,11 @@ def spanning(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, left: np.nd
     return out
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= 85 * (len(a) + len(b) - same)
+
+
 def edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["u", "v"])
 
@@ -167,104 +179,153 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def blocked(rows: DataFrame, count: str, by: str, block: int) -> DataFrame:
-    """Add ``seg`` and, once per pair of blocks of the group that the row belongs to, ``bi`` <= ``bj``."""
-    g = F.ceil(F.col(count) / block).cast("int")
-    dealt = rows.withColumn("_g", g).withColumn("seg", F.pmod(F.xxhash64(by), F.col("_g")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda t: F.struct(F.least("seg", t).alias("bi"), F.greatest("seg", t).alias("bj")))
-    single = dealt.where("_g = 1").withColumns({"bi": F.lit(0), "bj": F.lit(0)})
-    many = dealt.where("_g > 1").withColumn("_p", F.explode(pairs)).withColumns({"bi": F.col("_p.bi"), "bj": F.col("_p.bj")}).drop("_p")
-    return single.unionByName(many).drop("_g")
-
-
-def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (u, v), u < v, that join all nodes (node, n_shingles, sig) which are close and share a key."""
-    from pyspark.sql import Window as W
-
-    together = filed(nodes).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1")
-    shared = scratch.put(together, "keys")
-    rows = blocked(shared.join(nodes, "node"), "_n", "node", BLOCK)
-    ordered = rows.select("key", "slot", "bi", "bj", "seg", "node", "n_shingles", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "slot", "bi", "bj", "node")
+def in_groups(exact: bool):
+    """A batch function over rows (g, bi, bj, seg, label, node, n_shingles, sig[, text]) sorted by the first
+    three and node: links between the nodes of segments bi and bj of g."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for (_, _, bi, bj), group in groupby(rows_of(batches), key=lambda r: r[:4]):
+        for (_, bi, bj), group in groupby(rows_of(batches), key=lambda r: r[:3]):
             held = list(group)
             if len(held) < 2:
                 continue
-            seg = np.array([r[4] for r in held])
+            seg, nodes = np.array([r[3] for r in held]), np.array([r[5] for r in held])
             sigs = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(-1, SYMBOLS)
+            sets = [shingle_sets([r[8]])[0] for r in held] if exact else []
             left = np.flatnonzero(seg == bi)
             right = left if bi == bj else np.flatnonzero(seg == bj)
-            found.update(spanning(np.array([r[5] for r in held]), np.array([r[6] for r in held]), sigs, left, right))
+            label = np.unique([r[4] for r in held], return_inverse=True)[1]
+            found.update(spanning(nodes, np.array([r[6] for r in held]), sigs, left, right, (lambda i, j, s=sets: similar(s[i], s[j])) if exact else None, label))
             if len(found) >= 1 << 16:
                 yield edge_batch(list(found))
                 found = set()
         if found:
             yield edge_batch(list(found))
 
-    return ordered.mapInArrow(released(run), "u long, v long").distinct()
+    return released(run)
 
 
-def confirm(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) that hold on full sets and span the same components as all links do."""
-    roots = scratch.put(components(edges, scratch, "candidate"), "roots")
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    placed = roots.join(sizes, "root").select("node", "root", "_n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    own = nodes.select("node", "rep").join(placed, "node").join(texts, "rep")
-    rows = blocked(own, "_n", "node", BLOCK).select("root", "bi", "bj", "seg", "node", "text")
-    ordered = rows.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node")
+def with_hub(exact: bool):
+    """A batch function over rows (g, node, n_shingles, sig, hub, hub_n, hub_sig[, text, hub_text]): (g, u, v)
+    of the nodes that are close to their group's hub."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, bi, bj), group in groupby(rows_of(batches), key=lambda r: r[:3]):
-            segs, names, sets = [], [], []
-            for _, _, _, seg, node, text in group:
-                own = shingle_sets([text])[0]
-                if set_id(own)[0] == node and (not names or names[-1] != node):  # other rows may have the doc_id too
-                    segs.append(seg)
-                    names.append(node)
-                    sets.append(own)
-            if len(names) < 2:
-                continue
+        last: tuple = (None, None)
+        for batch in batches:
+            out = []
+            for g, node, n, sig, hub, hub_n, hub_sig, *texts in rows_of([batch]):
+                apart = int((np.frombuffer(sig, np.uint8) != np.frombuffer(hub_sig, np.uint8)).sum())
+                if node == hub or apart > MAX_DISTANCE or 100 * min(n, hub_n) < 85 * max(n, hub_n):
+                    continue
+                if exact:
+                    if last[0] != hub:
+                        last = hub, shingle_sets([texts[1]])[0]
+                    if not similar(shingle_sets([texts[0]])[0], last[1]):
+                        continue
+                out.append((g, node, hub))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["g", "u", "v"])
+
+    return released(run)
+
+
+def spanning_links(rows: DataFrame, scratch: Scratch, name: str, exact: bool) -> DataFrame:
+    """Links (u, v), u < v, that join whatever close pairs of a group join. ``rows`` has (g, weight, node,
+    n_shingles, sig, score[, text]): a group's weight in nodes, and a node's score as a hub."""
+    payload = ["node", "n_shingles", "sig", *(["text"] if exact else [])]
+    columns = ["g", "bi", "bj", "seg", "label", *payload]
+
+    def dealt(parts: DataFrame) -> DataFrame:
+        ordered = parts.select(*columns).repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "node")
+        return ordered.mapInArrow(in_groups(exact), "u long, v long")
+
+    zero = {c: F.lit(0) for c in ("bi", "bj", "seg")}
+    small = dealt(rows.where(F.col("weight") <= SMALL).withColumns(zero | {"label": F.col("node")}))
+    big = scratch.put(rows.where(F.col("weight") > SMALL).drop("weight"), f"{name}-big")
+    waiting = big.select("g", "node", "score")
+    left, found, turn = waiting.count(), None, 0
+    while left:
+        hubs = waiting.groupBy("g").agg(F.max(F.struct("score", "node")).alias("_h")).select("g", F.col("_h.node").alias("node"))
+        hubs = scratch.put(big.join(hubs, ["g", "node"]).select("g", *[F.col(c).alias({"node": "hub", "n_shingles": "hub_n"}.get(c, f"hub_{c}")) for c in payload]), f"{name}-hubs{turn}")
+        pairs = big.join(hubs, "g").select("g", "node", "n_shingles", "sig", "hub", "hub_n", "hub_sig", *(["text", "hub_text"] if exact else []))
+        links = scratch.put(pairs.mapInArrow(with_hub(exact), "g long, u long, v long"), f"{name}-star{turn}")
+        found = links if found is None else found.unionByName(links)
+        taken = links.select("g", F.col("u").alias("node")).unionByName(hubs.select("g", F.col("hub").alias("node")))
+        waiting = scratch.put(waiting.join(taken, ["g", "node"], "left_anti"), f"{name}-waiting{turn}")
+        before, left, turn = left, waiting.count(), turn + 1
+        if 2 * left > before:
+            break
+    if found is None:
+        return small.distinct()
+    stars = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    labels = components(stars, scratch, f"{name}-stars").select("node", F.col("root").alias("label"))
+    labelled = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heavy = F.col("n_shingles") / F.lit(HEAVY) if exact else F.lit(0.0)
+    sums = labelled.groupBy("g", "label").agg(F.count(F.lit(1)).alias("_c"), F.sum(1 + heavy).alias("_w"))
+    tops = sums.groupBy("g").agg(F.max(F.struct("_c", "label")).alias("_top"), F.count(F.lit(1)).alias("_k"), F.sum("_w").alias("_all"), F.max_by("_w", F.struct("_c", "label")).alias("_most")).where("_k > 1")
+    tops = tops.select("g", F.col("_top.label").alias("_top"), F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_ks"), F.ceil(F.col("_most") / BLOCK).cast("int").alias("_kd"))
+    own = labelled.join(tops, "g").withColumn("_out", F.col("label") != F.col("_top"))
+    h = F.xxhash64("node")
+    own = own.withColumn("seg", F.when(F.col("_out"), F.pmod(h, F.col("_ks"))).otherwise(F.col("_ks") + F.pmod(h, F.col("_kd"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("_out"), F.col("_ks") + F.col("_kd")).otherwise(F.col("_ks")) - 1)
+    parted = own.withColumn("_t", F.explode(others)).withColumns({"bi": F.least("seg", "_t"), "bj": F.greatest("seg", "_t")})
+    return small.unionByName(stars).unionByName(dealt(parted)).distinct()
 
-            def holds(i: int, j: int, sets=sets) -> bool:
-                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                return 100 * same >= 85 * (len(sets[i]) + len(sets[j]) - same)
 
-            seg = np.array(segs)
-            sigs = np.frombuffer(b"".join(map(signature, sets)), np.uint8).reshape(-1, SYMBOLS)
-            left = np.flatnonzero(seg == bi)
-            right = left if bi == bj else np.flatnonzero(seg == bj)
-            if links := spanning(np.array(names), np.array([len(s) for s in sets]), sigs, left, right, holds):
-                yield edge_batch(links)
+def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (u, v), u < v, that join all nodes (node, n_shingles, sig) which are close and share a key."""
+    keys = filed(nodes).groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1")
+    shared = scratch.put(filed(nodes).join(keys, "key"), "keys")
+    rows = shared.join(nodes, "node").select(F.col("key").alias("g"), "weight", "node", "n_shingles", "sig", F.xxhash64("node", "key").alias("score"))
+    return spanning_links(rows, scratch, "keyed", exact=False)
 
-    return ordered.mapInArrow(released(run), "u long, v long")
+
+def confirm(texts: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that hold on full sets and span the same components as all links do. The hub of a large
+    component is the node that shares most keys with others."""
+    roots = scratch.put(components(edges, scratch, "candidate"), "roots")
+    scores = scratch.spark.read.parquet(f"{scratch.root}/keys").groupBy("node").agg(F.sum("weight").alias("score"))
+    placed = scratch.put(roots.join(nodes, "node").join(scores, "node"), "placed")
+    weights = placed.groupBy("root").agg((F.count(F.lit(1)) + F.sum("n_shingles") / F.lit(HEAVY)).alias("weight"))
+    rows = placed.join(weights, "root").join(texts, "_row")
+    return spanning_links(rows.select(F.col("root").alias("g"), "weight", "node", "n_shingles", "sig", "score", "text"), scratch, "confirmed", exact=True)
+
+
+def linked(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of all nodes in ``rows``, sketches of the rows (_row, text)."""
+    grouped = rows.where("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min("_row").alias("_row"), F.min("sig").alias("sig"))
+    nodes = scratch.put(grouped.drop("check"), "nodes")
+    edges = scratch.put(candidates(nodes.select("node", "n_shingles", "sig"), scratch), "edges")
+    links = confirm(texts, nodes, edges, scratch)
+    roots = components(links, scratch, "linked")
+    named = scratch.put(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    scratch.drop("keys")
+    return named
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     scratch = Scratch(session(docs), "neardup")
-    rows = scratch.put(sketch(docs), "sketches")
-    grouped = rows.where("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
-    nodes = scratch.put(grouped, "nodes")
-    edges = scratch.put(candidates(nodes.where(F.col("rep").isNotNull()).select("node", "n_shingles", "sig"), scratch), "edges")
-    scratch.drop("keys")
-    links = confirm(docs, nodes, edges, scratch)
-    roots = scratch.put(components(links, scratch, "linked"), "linked")
-    named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = scratch.put(named.select("node", "root").join(names, "root").select("node", "component_id"), "named")
-    linked = rows.where("n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", "component_id")
+    texts = scratch.put(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "rows")
+    rows = scratch.put(sketch(texts), "sketches")
+    of = linked(rows, texts.select("_row", "text"), scratch)
+    members = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(of, "node")
+    names = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = members.join(names, "root").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return linked.unionByName(empty).withColumn("kept", kept)
+    return found.unionByName(empty).withColumn("kept", kept)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, columns unchanged."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component and all rows without words, columns unchanged."""
+    scratch = Scratch(session(docs), "dedup")
+    whole = scratch.put(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "rows")
+    rows = scratch.put(sketch(whole.select("_row", "doc.doc_id", "doc.text")), "sketches")
+    of = linked(rows, whole.select("_row", "doc.text"), scratch)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "_row")
+    first = rows.where("n_shingles > 0").join(of, "node").groupBy("root").agg(F.min(order).alias("_o")).select(F.col("_o._row").alias("_row"))
+    kept = first.unionByName(rows.where("n_shingles = 0").select("_row"))
+    return whole.join(kept, "_row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:

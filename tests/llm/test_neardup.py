@@ -66,8 +66,10 @@ def test_odd_rows_and_empty(spark, tmp_path):
     assert op6_hamming_join(spark, table(spark, tmp_path / "e", "documents", [], DOCS)).count() == 0
 
 
-def test_edited_copies_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 5)
+@pytest.mark.parametrize("small,block", [(128, 512), (6, 5), (2, 3)])
+def test_edited_copies_in_small_blocks(spark, monkeypatch, small, block):
+    monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "BLOCK", block)
     rng = random.Random(3)
     docs, n = [], 0
     for _ in range(12):
@@ -85,7 +87,33 @@ def test_edited_copies_in_small_blocks(spark, monkeypatch):
 def test_one_doc_id_with_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     docs = [(1, a), (1, b), (2, a), (3, b), (None, a + " more"), (None, "alone without an id")]
-    assert found(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)[:0] + sorted([(1, 26, 1), (1, 26, 1), (2, 26, 1), (3, 26, 1), (None, 27, None), (None, 1, None)], key=str)
+    assert found(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, x = "a one of its own kind here", "b two of its own kind there", "x words"
+    rows = [(1, b), (5, b), (5, a), (None, b), (7, x), (7, x), (None, "only without id"), (None, "only without id"), (8, None), (8, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, node int, _row int, root int, `doc.x` int")
+    out = deduplicated(docs)
+    assert out.columns == docs.columns
+    want = [(1, b), (5, a), (7, x), (None, "only without id"), (8, None), (8, None), (9, "")]
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted(want, key=str)
+
+
+def test_index_and_filter_have_one_threshold(spark):
+    """Signatures at any distance up to the threshold share a key, wherever the errors are."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, nd.SYMBOLS).astype(np.uint8)
+    rows = [(0, bytearray(base.tobytes()))]
+    for i in range(1, 120):
+        other = base.copy()
+        at = rng.permutation(nd.SYMBOLS)[: nd.MAX_DISTANCE]
+        other[at] ^= 1
+        rows.append((i, bytearray(other.tobytes())))
+    keys = {}
+    for r in nd.filed(spark.createDataFrame(rows, "node long, sig binary")).collect():
+        keys.setdefault(r.node, set()).add(r.key)
+    assert all(keys[0] & keys[i] for i in range(1, 120))
 
 
 def test_shingles_and_signatures():
