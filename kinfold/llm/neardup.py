@@ -33,10 +33,9 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import LOWER, Scratch, read, released, runs, session, ship
+from kinfold.llm.common import LOWER, Scratch, read, released, runs, session, ship, shuffle_width
 from kinfold.llm.components import components
 
 CHUNKS, WIDTH, ERRORS, WORDS = 16, 6, 1, 5
@@ -206,77 +205,79 @@ def in_groups(exact: bool):
 
 
 def with_hub(exact: bool):
-    """A batch function over rows (g, node, n_shingles, sig, hub, hub_n, hub_sig[, text, hub_text]): (g, u, v)
-    of the nodes that are close to their group's hub."""
+    """A batch function over rows (node, n_shingles, sig, hub, hub_n, hub_sig[, text, hub_text]): links (u, v)
+    of the nodes that are close to their hub."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
             out = []
-            for g, node, n, sig, hub, hub_n, hub_sig, *texts in rows_of([batch]):
+            for node, n, sig, hub, hub_n, hub_sig, *texts in rows_of([batch]):
                 apart = int((np.frombuffer(sig, np.uint8) != np.frombuffer(hub_sig, np.uint8)).sum())
-                if node == hub or apart > MAX_DISTANCE or 100 * min(n, hub_n) < 85 * max(n, hub_n):
+                if apart > MAX_DISTANCE or 100 * min(n, hub_n) < 85 * max(n, hub_n):
                     continue
                 if exact:
                     if last[0] != hub:
                         last = hub, shingle_sets([texts[1]])[0]
                     if not similar(shingle_sets([texts[0]])[0], last[1]):
                         continue
-                out.append((g, node, hub))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["g", "u", "v"])
+                out.append((node, hub))
+            yield edge_batch(out)
 
     return released(run)
 
 
-def spanning_links(rows: DataFrame, scratch: Scratch, name: str, exact: bool) -> DataFrame:
-    """Links (u, v), u < v, that join whatever close pairs of a group join. ``rows`` has (g, weight, node,
-    n_shingles, sig, score[, text]): a group's weight in nodes, and a node's score as a hub."""
-    payload = ["node", "n_shingles", "sig", *(["text"] if exact else [])]
-    columns = ["g", "bi", "bj", "seg", "label", *payload]
+def spanning_links(groups: DataFrame, payload: DataFrame, scratch: Scratch, name: str, exact: bool) -> DataFrame:
+    """Links (u, v) that join whatever close pairs of a group join. ``groups`` has (g, weight, node,
+    score): a group's weight in nodes, and a node's score as a hub; ``payload`` (node, n_shingles, sig[, text])."""
+    held = ["node", "n_shingles", "sig", *(["text"] if exact else [])]
+    payload = payload.select(*held)
 
     def dealt(parts: DataFrame) -> DataFrame:
-        ordered = parts.select(*columns).repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "node")
+        columns = parts.join(payload, "node").select("g", "bi", "bj", "seg", "label", *held)
+        ordered = columns.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "node")
         return ordered.mapInArrow(in_groups(exact), "u long, v long")
 
     zero = {c: F.lit(0) for c in ("bi", "bj", "seg")}
-    small = dealt(rows.where(F.col("weight") <= SMALL).withColumns(zero | {"label": F.col("node")}))
-    big = scratch.put(rows.where(F.col("weight") > SMALL).drop("weight"), f"{name}-big")
-    waiting = big.select("g", "node", "score")
-    left, found, turn = waiting.count(), None, 0
+    small = dealt(groups.where(F.col("weight") <= SMALL).withColumns(zero | {"label": F.col("node")}))
+    big = scratch.put(groups.where(F.col("weight") > SMALL).drop("weight"), f"{name}-big")
+    waiting, left, found, turn = big, big.count(), None, 0
+    as_hub = payload.withColumnsRenamed({"node": "hub", "n_shingles": "hub_n", "sig": "hub_sig", "text": "hub_text"})
     while left:
-        hubs = waiting.groupBy("g").agg(F.max(F.struct("score", "node")).alias("_h")).select("g", F.col("_h.node").alias("node"))
-        hubs = scratch.put(big.join(hubs, ["g", "node"]).select("g", *[F.col(c).alias({"node": "hub", "n_shingles": "hub_n"}.get(c, f"hub_{c}")) for c in payload]), f"{name}-hubs{turn}")
-        pairs = big.join(hubs, "g").select("g", "node", "n_shingles", "sig", "hub", "hub_n", "hub_sig", *(["text", "hub_text"] if exact else []))
-        links = scratch.put(pairs.mapInArrow(with_hub(exact), "g long, u long, v long"), f"{name}-star{turn}")
+        hubs = waiting.groupBy("g").agg(F.max(F.struct("score", "node")).alias("_h")).select("g", F.col("_h.node").alias("hub"))
+        open_ = scratch.put(waiting.join(scratch.put(hubs, f"{name}-hubs{turn}"), "g").where("node <> hub"), f"{name}-open{turn}")
+        pairs = open_.select("node", "hub").distinct().join(payload, "node").join(as_hub, "hub")
+        pairs = pairs.select("node", "n_shingles", "sig", "hub", "hub_n", "hub_sig", *(["text", "hub_text"] if exact else []))
+        links = scratch.put(pairs.mapInArrow(with_hub(exact), "u long, v long"), f"{name}-star{turn}")
         found = links if found is None else found.unionByName(links)
-        taken = links.select("g", F.col("u").alias("node")).unionByName(hubs.select("g", F.col("hub").alias("node")))
-        waiting = scratch.put(waiting.join(taken, ["g", "node"], "left_anti"), f"{name}-waiting{turn}")
+        near = open_.join(links.select(F.col("u").alias("node"), F.col("v").alias("hub")), ["node", "hub"], "left_anti")
+        waiting = scratch.put(near.select("g", "node", "score"), f"{name}-waiting{turn}")
         before, left, turn = left, waiting.count(), turn + 1
         if 2 * left > before:
             break
     if found is None:
         return small.distinct()
-    stars = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    labels = components(stars, scratch, f"{name}-stars").select("node", F.col("root").alias("label"))
-    labelled = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heavy = F.col("n_shingles") / F.lit(HEAVY) if exact else F.lit(0.0)
-    sums = labelled.groupBy("g", "label").agg(F.count(F.lit(1)).alias("_c"), F.sum(1 + heavy).alias("_w"))
+    labels = components(found, scratch, f"{name}-stars").select("node", F.col("root").alias("label"))
+    labelled = scratch.put(big.select("g", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), f"{name}-labelled")
+    heavy = labelled.join(payload.select("node", (1 + F.col("n_shingles") / F.lit(HEAVY)).alias("_one")), "node") if exact else labelled.withColumn("_one", F.lit(1.0))
+    sums = heavy.groupBy("g", "label").agg(F.count(F.lit(1)).alias("_c"), F.sum("_one").alias("_w"))
     tops = sums.groupBy("g").agg(F.max(F.struct("_c", "label")).alias("_top"), F.count(F.lit(1)).alias("_k"), F.sum("_w").alias("_all"), F.max_by("_w", F.struct("_c", "label")).alias("_most")).where("_k > 1")
-    tops = tops.select("g", F.col("_top.label").alias("_top"), F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_ks"), F.ceil(F.col("_most") / BLOCK).cast("int").alias("_kd"))
+    tops = scratch.put(tops.select("g", F.col("_top.label").alias("_top"), F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_ks"), F.ceil(F.col("_most") / BLOCK).cast("int").alias("_kd")), f"{name}-tops")
     own = labelled.join(tops, "g").withColumn("_out", F.col("label") != F.col("_top"))
     h = F.xxhash64("node")
     own = own.withColumn("seg", F.when(F.col("_out"), F.pmod(h, F.col("_ks"))).otherwise(F.col("_ks") + F.pmod(h, F.col("_kd"))).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("_out"), F.col("_ks") + F.col("_kd")).otherwise(F.col("_ks")) - 1)
     parted = own.withColumn("_t", F.explode(others)).withColumns({"bi": F.least("seg", "_t"), "bj": F.greatest("seg", "_t")})
-    return small.unionByName(stars).unionByName(dealt(parted)).distinct()
+    return small.unionByName(found).unionByName(dealt(parted)).distinct()
 
 
 def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (u, v), u < v, that join all nodes (node, n_shingles, sig) which are close and share a key."""
+    """Edges (u, v) that join all nodes (node, n_shingles, sig) which are close and share a key.
+    A node's score as a hub is one over all its keys, so a group of near copies has few hubs."""
     keys = filed(nodes).groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1")
     shared = scratch.put(filed(nodes).join(keys, "key"), "keys")
-    rows = shared.join(nodes, "node").select(F.col("key").alias("g"), "weight", "node", "n_shingles", "sig", F.xxhash64("node", "key").alias("score"))
-    return spanning_links(rows, scratch, "keyed", exact=False)
+    groups = shared.select(F.col("key").alias("g"), "weight", "node", F.xxhash64("node").alias("score"))
+    return spanning_links(groups, nodes, scratch, "keyed", exact=False)
 
 
 def confirm(texts: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -285,15 +286,16 @@ def confirm(texts: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scrat
     roots = scratch.put(components(edges, scratch, "candidate"), "roots")
     scores = scratch.spark.read.parquet(f"{scratch.root}/keys").groupBy("node").agg(F.sum("weight").alias("score"))
     placed = scratch.put(roots.join(nodes, "node").join(scores, "node"), "placed")
-    weights = placed.groupBy("root").agg((F.count(F.lit(1)) + F.sum("n_shingles") / F.lit(HEAVY)).alias("weight"))
-    rows = placed.join(weights, "root").join(texts, "_row")
-    return spanning_links(rows.select(F.col("root").alias("g"), "weight", "node", "n_shingles", "sig", "score", "text"), scratch, "confirmed", exact=True)
+    weights = scratch.put(placed.groupBy("root").agg((F.count(F.lit(1)) + F.sum("n_shingles") / F.lit(HEAVY)).alias("weight")), "weights")
+    groups = placed.join(weights, "root").select(F.col("root").alias("g"), "weight", "node", "score")
+    payload = scratch.put(placed.select("node", "n_shingles", "sig", "_row").join(texts, "_row").drop("_row"), "payload")
+    return spanning_links(groups, payload, scratch, "confirmed", exact=True)
 
 
 def linked(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes in ``rows``, sketches of the rows (_row, text)."""
     grouped = rows.where("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min("_row").alias("_row"), F.min("sig").alias("sig"))
-    nodes = scratch.put(grouped.drop("check"), "nodes")
+    nodes = scratch.put(grouped.drop("check").repartition(shuffle_width(scratch.spark), "node"), "nodes")
     edges = scratch.put(candidates(nodes.select("node", "n_shingles", "sig"), scratch), "edges")
     links = confirm(texts, nodes, edges, scratch)
     roots = components(links, scratch, "linked")
@@ -309,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = scratch.put(sketch(texts), "sketches")
     of = linked(rows, texts.select("_row", "text"), scratch)
     members = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(of, "node")
-    names = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    names = scratch.put(members.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     found = members.join(names, "root").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
