@@ -97,8 +97,8 @@ def within_budget(df: DataFrame, key: str, budget: int, order: Column) -> DataFr
 def next_sibling(df: DataFrame, key: str, idc: str, allowed: Column) -> DataFrame:
     """``sibling``: the next allowed row with the same non-empty key, the last one's is the first; -1 if
     there is none or the row is not allowed."""
-    ok = allowed & (F.col(key) != "")
-    g = W.partitionBy(key, ok)
+    ok = F.coalesce(allowed & (F.col(key) != ""), F.lit(False))
+    g = W.partitionBy(F.when(ok, F.col(key)), F.when(~ok, F.xxhash64(idc)))  # rows without a sibling stay apart
     following = F.coalesce(F.lead(idc).over(g.orderBy(idc)), F.first(idc).over(g.orderBy(idc)))
     return df.withColumn("sibling", F.when(ok & (F.count(F.lit(1)).over(g) > 1), following).otherwise(-1))
 

@@ -39,14 +39,19 @@ def postings(df: DataFrame, grams: Column, by: list[str], idf_id: str = "id") ->
     return df.select(*by, F.col(idf_id).alias("id"), F.explode(grams).alias("_g")).groupBy(*by, "id", F.xxhash64("_g").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(tf: DataFrame, sizes: DataFrame, by: list[str], max_df: float, min_df: int = 1) -> DataFrame:
-    """``tf`` with ``w``: (1 + ln tf) x (ln((N + 1) / (df + 1)) + 1) after dropping terms in more than
-    ``max_df`` of the documents. ``sizes`` has (by, n_docs). Frequent terms go before anything is
-    joined, which is also what keeps the later postings join free of hot keys."""
+def inverse_frequencies(tf: DataFrame, sizes: DataFrame, by: list[str], max_df: float, min_df: int = 1) -> DataFrame:
+    """(by, term, idf): ln((N + 1) / (df + 1)) + 1 of the terms in at least ``min_df`` documents and at most
+    the share ``max_df`` of them. ``sizes`` has (by, n_docs)."""
     df = tf.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("_df"))
     kept = df.join(sizes, by).where((F.col("_df") <= F.lit(max_df) * F.col("n_docs")) & (F.col("_df") >= min_df))
-    idf = kept.select(*by, "term", (F.log((F.col("n_docs") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    return tf.join(idf, [*by, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("_idf")).drop("_idf", "tf")
+    return kept.select(*by, "term", (F.log((F.col("n_docs") + 1) / (F.col("_df") + 1)) + 1).alias("idf"))
+
+
+def term_weights(tf: DataFrame, sizes: DataFrame, by: list[str], max_df: float, min_df: int = 1) -> DataFrame:
+    """``tf`` with ``w``: (1 + ln tf) x idf. Terms in more than ``max_df`` of the documents go before
+    anything is joined, which shortens the longest postings."""
+    idf = inverse_frequencies(tf, sizes, by, max_df, min_df)
+    return tf.join(idf, [*by, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf")).drop("idf", "tf")
 
 
 def norms(weights: DataFrame, by: list[str]) -> DataFrame:
@@ -122,7 +127,7 @@ def dense_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = 4096)
         for batch in batches:
             for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = np.array([x["vec"] for x in q], float), np.array([x["vec"] for x in v], float)
-                s = np.round(np.sum(a[:, None, :] * b[None, :, :], axis=2) if a.size * len(b) < 1 << 24 else a @ b.T, 9)
+                s = np.round(a @ b.T, 12)
                 ids = np.array([x["id"] for x in v])
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(q)), order.shape[1])

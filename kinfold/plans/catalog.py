@@ -100,7 +100,7 @@ def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return fx.name_pairs(spark, sf).select("id", r6(sim.length_ratio(a, b)).alias("len_ratio"), r6(sim.token_jaccard(a, b)).alias("jaccard"), r6(sim.jaro_winkler_similarity(a, b)).alias("jw"))
 
 
-_NUM = """nums as (select doc_id id, list_slice(regexp_extract_all(text, '[0-9]+'), 1, 40) d, list_slice(regexp_extract_all(text, '[0-9]+'), 3, 60) e from documents)"""
+_NUM = """nums as (select id, d, d[3:] e from (select doc_id id, regexp_extract_all(text, '[0-9]+') d from documents))"""
 
 
 @query(f"""with {_NUM}, s as (select id, d, e, list_distinct(d) x, list_distinct(e) y from nums),
@@ -111,7 +111,7 @@ select id, round(case when len(d) > 0 and len(e) > 0 then len(list_intersect(x,
   case when len(l) > 0 and len(r) > 0 then least(list_max(list_transform(l, lambda v: length(v))), list_max(list_transform(r, lambda v: length(v)))) else 0 end::int num_conflict_len from t""")
 def number_similarity(spark: SparkSession, sf: str) -> DataFrame:
     d = tx.digit_runs(F.col("text"))
-    v = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(d, 1, 40), " ").alias("d"), F.array_join(F.slice(d, 3, 58), " ").alias("e"))
+    v = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(d, " ").alias("d"), F.array_join(F.slice(d, F.lit(3), F.size(d)), " ").alias("e"))
     f = sim.digit_features(F.col("d"), F.col("e")) | sim.number_features(F.col("d"), F.col("e"), F.lit(""), F.lit(""))
     f["digit_jacc"] = r6(f["digit_jacc"])
     return v.select("id", *[c.cast("int").alias(k) if k != "digit_jacc" else c.alias(k) for k, c in f.items() if not k.startswith("name_")])
@@ -184,12 +184,12 @@ def pair_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rt.pair_cosine(t, v, v)
 
 
-@query(f"""with s as (select a.vec_id q, b.vec_id d, {_DOT} cos from embeddings a, embeddings b where a.vec_id % 10 = 0 and b.vec_id % 10 = 5),
+@query(f"""with s as (select a.vec_id q, b.vec_id d, {_DOT} cos from embeddings a, embeddings b where a.vec_id % 20 = 0),
  r as (select *, row_number() over (partition by q order by cos desc, d) - 1 x, row_number() over (partition by d order by cos desc, q) - 1 y from s)
 select q, d, cos, case when x < 3 then x else -1 end::int drank_rec, case when y < 5 then y else -1 end::int drank_s1 from r where x < 3 or y < 5""")
 def two_sided_dense(spark: SparkSession, sf: str) -> DataFrame:
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    records, items = v.where("id % 10 = 0"), v.where("id % 10 = 5")
+    records, items = v.where("id % 20 = 0"), v
     near = rt.dense_top_k(records, items, 6).withColumn("score", r6("score"))
     back = rt.dense_top_k(items, records, 8).select(F.col("d").alias("q"), F.col("q").alias("d"), r6("score").alias("score"))
     return rt.two_sided(rt.top_k(near, 3, ["q"]), rt.top_k(back, 5, ["d"], tie="q"))

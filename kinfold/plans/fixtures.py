@@ -1,7 +1,7 @@
 """The reference concepts over the driver tables, in Spark and as SQL for DuckDB.
 
-Star fixture: customers are entities, orders are records. An order with ``o_orderkey % 3 = 0`` belongs
-to its customer, one with ``o_orderkey % 9 = 1`` is an orphan. Candidates of a record are its customer
+Star fixture: customers are entities, every order is a record. An order with ``o_orderkey % 4 = 1`` is an
+orphan, any other belongs to its customer. Candidates of a record are its customer
 and two decoys of the same country (``custkey % 5``); probabilities are exact integer fractions.
 """
 
@@ -21,13 +21,12 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """(country, src, rec, parent, cust)."""
-    o = read(spark, sf, "orders").where("o_orderkey % 3 = 0 or o_orderkey % 9 = 1")
-    return o.select((F.col("o_custkey") % 5).alias("country"), (2 + F.col("o_orderkey") % 2).alias("src"), F.col("o_orderkey").alias("rec"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(-1).alias("parent"), F.col("o_custkey").alias("cust"))
+    o = read(spark, sf, "orders")
+    return o.select((F.col("o_custkey") % 5).alias("country"), (2 + F.col("o_orderkey") % 2).alias("src"), F.col("o_orderkey").alias("rec"), F.when(F.col("o_orderkey") % 4 == 1, -1).otherwise(F.col("o_custkey")).alias("parent"), F.col("o_custkey").alias("cust"))
 
 
 RECORDS = """records as (select o_custkey % 5 country, 2 + o_orderkey % 2 src, o_orderkey rec,
-  case when o_orderkey % 3 = 0 then o_custkey else -1 end parent, o_custkey cust
-  from orders where o_orderkey % 3 = 0 or o_orderkey % 9 = 1)"""
+  case when o_orderkey % 4 = 1 then -1 else o_custkey end parent, o_custkey cust from orders)"""
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:

@@ -76,16 +76,19 @@ def test_answers_config_cache_limit(spark, tmp_path):
 
 def test_stream(spark, tmp_path):
     from kinfold.operators.retrieval import postings, weighted, word_grams
+    from kinfold.operators.retrieval import record_side
     from kinfold.streaming.blocking import arriving_matches, entity_index, windowed_arrivals
 
-    e = spark.createDataFrame([("x", 1, "red fox"), ("x", 2, "blue whale")], "part string, id long, text string")
-    sizes = e.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"))
-    index = entity_index(weighted(postings(e, word_grams(F.col("text")), ["part"]), sizes, ["part"], 1.0))
-    spark.createDataFrame([("x", 9, "the red fox"), ("x", 8, "a blue whale")], "part string, id long, text string").write.parquet(str(tmp_path / "in"))
+    e = spark.createDataFrame([("x", 1, "red fox red"), ("x", 2, "blue whale"), ("x", 3, "red whale of the sea")], "part string, id long, text string")
+    records = [("x", 9, "the red fox"), ("x", 8, "a blue whale"), ("x", 7, "the sea of red red foxes and a whale"), ("x", 6, "nothing known")]
+    r = spark.createDataFrame(records, "part string, id long, text string")
+    r.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("part string, id long, text string").parquet(str(tmp_path / "in"))
     got = []
-    q = stream.writeStream.foreachBatch(arriving_matches(stream, index)(lambda df: got.extend(df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    body = arriving_matches(stream, entity_index(e, r, max_df=0.9))
+    q = stream.writeStream.foreachBatch(body(lambda df: got.extend(df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert {(r.q, r.d) for r in got if r["rank"] == 0} == {(9, 1), (8, 2)}
+    want = record_side(r, e, k=3, max_df=0.9).collect()
+    assert want and {(x.q, x.d, x["rank"]): x.score for x in got} == pytest.approx({(x.q, x.d, x["rank"]): x.score for x in want}, abs=1e-8)
     ev = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00"), (2, "a", "2024-01-01 05:00:00")], "user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert windowed_arrivals(ev).first().n == 2
