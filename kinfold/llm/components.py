@@ -2,7 +2,8 @@
 
 Everything stays in DataFrames written to the shared folder each round; nothing is collected but two
 numbers a round. Neighbourhood minima are partial aggregates, so a node with very many neighbours is
-no burden on one task, and the join that spreads a minimum may be split where it is skewed.
+no burden on one task; the minima are written before the join that spreads them, so that Spark can split
+that join where it is skewed.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, put) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -34,6 +35,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before, k = mark, k + 1
-        current = scratch.put(_small_star(_large_star(current)), f"{name}{k}")
+        current = scratch.put(_small_star(_large_star(current, lambda df, what, k=k: scratch.put(df, f"{name}-{what}{k}"))), f"{name}{k}")
         scratch.drop(f"{name}{k - 1}")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -5,7 +5,9 @@ the benchmark's vocabulary (words outside it are 0) and its suffixes are sorted
 ``window`` words. A suffix that meets a 0 before the shortest window is full cannot match any test
 suffix, so only the others are sorted; that is exact and keeps the arrays small. Every window of
 every benchmark item is a test suffix: binary search gives its range in each shard's array, and so
-all verbatim occurrences; ``longest`` extends them to maximal matches.
+all verbatim occurrences. Equal windows of several items are searched once. The longest verbatim match of
+a document, with its place there and in the benchmark, comes from extending occurrences in the
+benchmark block's own suffix array.
 
 Words: A-Z lower-cased, runs of digits, a-z and any character from U+0080 up. An item of fewer
 words than the window is one window; items without words, or without an id, have none. Null texts
@@ -33,32 +35,75 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """The windows of one block of benchmark items as sorted search keys."""
+    """One block of benchmark items: their distinct windows as sorted search keys, each with the items that
+    own it, and the suffix array of all their words."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = 13):
-        self.window, split = window, [(i, words_of(t)) for i, t in items if i is not None]
+        split = [(i, ws) for i, t in items if i is not None and (ws := words_of(t))]
+        self.window = window
         self.vocabulary = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for _, ws in split for w in ws))}
         self.wide = np.dtype(">u2") if len(self.vocabulary) < 65_000 else np.dtype(">u4")
-        low, high, owner, length = [], [], [], []
-        top = np.iinfo(self.wide).max
-        for item, ws in split:
-            ids = [self.vocabulary[w] for w in ws]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                part = ids[k : k + window]
-                low.append(part + [0] * (window - len(part)))
-                high.append(part + [top] * (window - len(part)))
-                owner.append(item)
-                length.append(len(part))
-        self.owner, self.length = np.array(owner, np.int64), np.array(length, np.int64)
-        self.low, self.high = self.keys(np.array(low).reshape(-1, window)), self.keys(np.array(high).reshape(-1, window))
-        self.shortest = min(length, default=window)
+        self.items = np.array([i for i, _ in split], np.int64)
+        sizes = np.array([len(ws) for _, ws in split], np.int64)
+        self.starts = np.cumsum(sizes + 1) - sizes - 1  # a 0 parts the items
+        ids = np.zeros(int((sizes + 1).sum()) + window, np.int64)
+        for at, (_, ws) in zip(self.starts.tolist(), split, strict=True):
+            ids[at : at + len(ws)] = [self.vocabulary[w] for w in ws]
+        counts = np.where(sizes > 0, np.maximum(sizes - window + 1, 1), 0)
+        place = np.repeat(self.starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        length = np.minimum(np.repeat(sizes, counts), window)
+        rows = ids[place[:, None] + np.arange(window)] * (np.arange(window) < length[:, None])
+        self.low, first, self.group = np.unique(self.keys(rows), return_index=True, return_inverse=True)
+        top = np.where(np.arange(window) < length[first][:, None], rows[first], np.iinfo(self.wide).max)
+        self.high, self.length = self.keys(top), length[first]
+        self.shortest = int(length.min(initial=window))
+        pairs = np.unique(np.stack([self.group, np.repeat(self.items, counts)], 1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
+        lists: dict[tuple[int, ...], int] = {}
+        cuts = np.searchsorted(pairs[:, 0], np.arange(len(self.low) + 1))
+        self.owners = np.array([lists.setdefault(tuple(pairs[x:y, 1].tolist()), len(lists)) for x, y in zip(cuts, cuts[1:], strict=False)], np.int64)
+        self.lists = list(lists)
+        self.order = suffix_order(ids[: len(ids) - window])
+        self.text = ids[: len(ids) - window].astype(">u4").tobytes()
+        del self.group
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         """Rows of word numbers as byte strings that sort alike; equal lengths, so padding never confuses them."""
         return np.ascontiguousarray(ids, dtype=self.wide).view(f"S{self.window * self.wide.itemsize}").reshape(-1)
 
+    def find(self, key: bytes) -> int:
+        """Where in the block's words a run of words (4 bytes each) stands first in suffix order; -1 if nowhere."""
+        n, low, high = len(key), 0, len(self.order)
+        while low < high:
+            mid = (low + high) // 2
+            at = 4 * int(self.order[mid])
+            if self.text[at : at + n] < key:
+                low = mid + 1
+            else:
+                high = mid
+        at = 4 * int(self.order[low]) if low < len(self.order) else 0
+        return at // 4 if low < len(self.order) and self.text[at : at + n] == key else -1
+
+    def place(self, at: int) -> tuple[int, int]:
+        """(item, word) of a position."""
+        k = int(np.searchsorted(self.starts, at, "right")) - 1
+        return int(self.items[k]), at - int(self.starts[k])
+
+
+def suffix_order(ids: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in order, by prefix doubling."""
+    rank, step = np.unique(ids, return_inverse=True)[1] if len(ids) else ids, 1
+    while True:
+        after = np.full(len(ids), -1, np.int64)
+        after[: max(len(ids) - step, 0)] = rank[step:]
+        order = np.lexsort((after, rank))
+        new = np.zeros(len(ids), np.int64)
+        new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]]))
+        if not len(ids) or new.max() == len(ids) - 1 or step > len(ids):
+            return order
+        rank, step = new, 2 * step
+
 
 class Shard:
     """The suffix array of some documents."""
@@ -81,7 +126,7 @@ class Shard:
         self.suffixes, self.keys = at[order], keys[order]
 
     def search(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every occurrence: (index of the test suffix, position in the shard)."""
+        """Every occurrence: (index of the distinct window, position in the shard)."""
         left = np.searchsorted(self.keys, self.tests.low, "left")
         right = np.searchsorted(self.keys, self.tests.high, "right")
         n = right - left
@@ -92,39 +137,62 @@ class Shard:
     def documents(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, "right") - 1
 
-    def hits(self) -> tuple[np.ndarray, list[list[int]], list[np.ndarray]]:
-        """Per document the items with occurring windows and the hit word positions."""
+    def hits(self) -> tuple[list[list[int]], list[np.ndarray], list[tuple | None]]:
+        """Per document: the items with occurring windows, the hit word positions, the longest match."""
         which, at = self.search()
         n = len(self.starts) - 1
         change = np.zeros(len(self.ids) + 1, np.int64)
         np.add.at(change, at, 1)
         np.add.at(change, at + self.tests.length[which], -1)
         hit = np.cumsum(change) > 0
-        counts = np.array([hit[a:b].sum() for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]) if n else np.zeros(0, int)
         items: list[list[int]] = [[] for _ in range(n)]
-        if len(which):
-            pairs = np.unique(np.stack([self.documents(at), self.tests.owner[which]], 1), axis=0)
-            for d, i in pairs.tolist():
-                items[d].append(i)
-        places = [np.flatnonzero(hit[a : b - 1]) if c else np.zeros(0, int) for a, b, c in zip(self.starts[:-1], self.starts[1:], counts, strict=True)]
-        return counts, items, places
-
-    def longest(self) -> list[tuple[int, int, int, int]]:
-        """Maximal verbatim matches (item, document index, first word, words) of a window or more."""
-        which, at = self.search()
-        found: dict[tuple[int, int, int], int] = {}
-        spans = sorted({(int(self.tests.owner[k]), int(p), int(self.tests.length[k])) for k, p in zip(which, at, strict=True)})
-        out, last = [], None
-        for item, p, n in spans:
-            if last and last[0] == item and p <= last[1] + last[2] - (n - 1) and self.documents(np.array([p]))[0] == self.documents(np.array([last[1]]))[0]:
-                last[2] = max(last[2], p + n - last[1])
-            else:
-                last = [item, p, n]
-                out.append(last)
-        for item, p, n in out:
-            d = int(self.documents(np.array([p]))[0])
-            found[(item, d, p - int(self.starts[d]))] = n
-        return sorted((i, d, p, n) for (i, d, p), n in found.items())
+        places, longest = [np.zeros(0, np.int64)] * n, [None] * n
+        if not len(which):
+            return items, places, longest
+        doc = self.documents(at)
+        for d, k in np.unique(np.stack([doc, self.tests.owners[which]], 1), axis=0).tolist():
+            items[d] = sorted({*items[d], *self.tests.lists[k]}) if items[d] else list(self.tests.lists[k])
+        order = np.lexsort((-self.tests.length[which], at))
+        at, which, doc = at[order], which[order], doc[order]
+        for d in np.unique(doc).tolist():
+            a, b = self.starts[d], self.starts[d + 1]
+            places[d] = np.flatnonzero(hit[a : b - 1])
+            own = slice(*np.searchsorted(doc, [d, d + 1]))
+            longest[d] = self.longest(int(a), int(b) - 1, at[own], self.tests.length[which[own]])
+        return items, places, longest
+
+    def longest(self, first: int, end: int, at: np.ndarray, length: np.ndarray) -> tuple[int, int, int, int]:
+        """(words, word of the document, item, word of the item) of the longest verbatim match in the document
+        at first..end, whose windows start at ``at``: a match is extended word by word doubling, and the
+        next one looked at is the first that goes on beyond its end."""
+        words = self.ids[first:end].astype(">u4").tobytes()
+        zeros = np.append(np.flatnonzero(self.ids[first:end] == 0), end - first)
+
+        def known(a: int, b: int) -> bool:
+            return self.tests.find(words[4 * a : 4 * b]) >= 0
+
+        best, k = (0, 0), 0
+        while k < len(at):
+            p, n = int(at[k]) - first, int(length[k])
+            stop = int(zeros[np.searchsorted(zeros, p)])
+            good, step = p + n, 1
+            while good < stop:  # the farthest end of a match from p
+                if good + step <= stop and known(p, good + step):
+                    good, step = good + step, 2 * step
+                elif step == 1:
+                    break
+                else:
+                    step //= 2
+            best = max(best, (good - p, -p))
+            if good >= stop:
+                k = int(np.searchsorted(at, first + good))
+                continue
+            low, high = p + 1, good + 1  # the first start whose match holds the word at good
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if known(mid, good + 1) else (mid + 1, high)
+            k = max(k + 1, int(np.searchsorted(at, first + low)))
+        return best[0], -best[1], *self.tests.place(self.tests.find(words[-4 * best[1] : 4 * (best[0] - best[1])]))
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -132,87 +200,97 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int
     held, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         held.append((r.item_id, r.text))
-        size += len(r.text or "")
+        size += len((r.text or "").encode())
         if size >= block_bytes:
             yield held
             held, size = [], 0
-    if held:
-        yield held
+    yield held
 
 
-def one_pass(tests, texts: list[str | None], before: list[tuple[list[int], bytes]] | None, limit: int = 1 << 21):
-    """(n_words, hit positions as bytes, items) per text, joined with what earlier blocks found."""
-    out, i = [], 0
+Found = tuple[int, np.ndarray, list[int], tuple | None]
+
+
+def one_pass(tests: TestSuffixes, texts: list[str | None], limit: int = 1 << 21) -> Iterator[Found]:
+    """(n_words, hit positions, items, longest match) per text."""
+    i = 0
     while i < len(texts):
         some, size = [], 0
         while i + len(some) < len(texts) and size < limit:
             some.append(words_of(texts[i + len(some)]))
             size += len(some[-1])
-        _, items, places = Shard(some, tests.value).hits()
-        for k, ws in enumerate(some):
-            hit, own = places[k], items[k]
-            if before:
-                own = sorted({*own, *before[i + k][0]})
-                hit = np.union1d(hit, np.frombuffer(before[i + k][1], "<i4"))
-            out.append((len(ws), hit.astype("<i4").tobytes(), own))
+        items, places, longest = Shard(some, tests).hits()
+        yield from zip(map(len, some), places, items, longest, strict=True)
         i += len(some)
-    return out
+
+
+def joined(found: Found, before: dict | None) -> Found:
+    """What one block and those before it found in a text; the longest match is the earlier of equals."""
+    if not before:
+        return found
+    n, hit, items, longest = found
+    was = tuple(before["longest"]) if before["longest"] else None
+    best = was if was and (not longest or was[0] >= longest[0]) else longest
+    return n, np.union1d(hit, np.frombuffer(before["hit"], "<i4")), sorted({*items, *before["items"]}), best
 
 
 def verdict(n_words: int, n_hit: int, share: int = 20) -> bool:
     return n_hit > 0 and share * n_hit >= n_words
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 8 << 20, keep_rows: bool = False) -> DataFrame:
-    """Without ``keep_rows``: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row
-    of ``docs``. With it: the rows of ``docs`` that are not contaminated, columns unchanged."""
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, match_words long, match_at long, match_item long, match_item_at long"
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 4 << 20, keep_rows: bool = False) -> DataFrame:
+    """Without ``keep_rows``: ``RESULT`` per row of ``docs``; ``match_*`` are the longest verbatim match of a
+    window or more, its place in the document and in an item, null without one. With it: the rows of
+    ``docs`` that are not contaminated, columns unchanged. One block of the benchmark is in the driver
+    and in the workers at a time; what a block found is written beside the rows for the next."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
     spark = session(docs)
     ship(spark)
     scratch = Scratch(spark, "decontaminate")
-    blocks = [spark.sparkContext.broadcast(TestSuffixes(b, window)) for b in blocks_of(benchmark, block_bytes)] or [spark.sparkContext.broadcast(TestSuffixes([], window))]
-    rows = docs if keep_rows else docs.select("doc_id", "text")
-    text_at = rows.columns.index("text")
-    width = len(rows.columns)
+    rows = docs if keep_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    width, text_at, plain = len(rows.columns), rows.columns.index("text"), rows.schema
+    extra = "_found"
+    while extra in rows.columns:
+        extra += "_"
+    state = StructType.fromDDL("hit binary, items array<long>, longest array<long>")
+    carried = StructType([*plain.fields, StructField(extra, state)])
+
+    def step(tests, first: bool, last: bool):
+        schema = to_arrow_schema(plain if last and keep_rows else StructType.fromDDL(RESULT) if last else carried)
 
-    def step(tests, first: bool, last: bool, schema: pa.Schema):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (part for whole in batches for part in runs(whole, text_at, 1 << 21)):
-                before = None if first else list(zip(batch.column(width + 1).to_pylist(), batch.column(width).to_pylist(), strict=True))
-                found = one_pass(tests, batch.column(text_at).to_pylist(), before)
+                before = [None] * batch.num_rows if first else batch.column(width).to_pylist()
+                found = [joined(f, b) for f, b in zip(one_pass(tests.value, batch.column(text_at).to_pylist()), before, strict=True)]
                 if not last:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], schema=schema)
+                    told = [{"hit": h.astype("<i4").tobytes(), "items": items, "longest": list(m) if m else None} for _, h, items, m in found]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(told, schema.field(width).type)], schema=schema)
                     continue
-                hits = [len(f[1]) // 4 for f in found]
-                bad = [verdict(f[0], h) for f, h in zip(found, hits, strict=True)]
+                bad = [verdict(f[0], len(f[1])) for f in found]
                 if keep_rows:
                     yield pa.RecordBatch.from_arrays(batch.columns[:width], schema=schema).filter(pa.array([not b for b in bad]))
                     continue
-                names = [",".join(sorted(map(str, f[2]))) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(f[2]) for f in found], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()), pa.array(bad, pa.bool_()),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+                names = [hashlib.sha256(",".join(sorted(map(str, f[2]))).encode()).hexdigest() for f in found]
+                columns = [[f[0] for f in found], [len(f[1]) for f in found], [len(f[2]) for f in found], names, bad, *[[f[3][k] if f[3] else None for f in found] for k in range(4)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True)]], schema=schema)
 
         return released(run)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
-
-    carried = StructType([*rows.schema.fields, StructField("_hit", BinaryType()), StructField("_items", ArrayType(LongType()))])
-    for k, tests in enumerate(blocks):
-        last = k == len(blocks) - 1
-        if not last:
-            rows = scratch.put(rows.mapInArrow(step(tests, k == 0, False, to_arrow_schema(carried)), carried), f"block{k}")
-        elif keep_rows:
-            rows = rows.mapInArrow(step(tests, k == 0, True, to_arrow_schema(docs.schema)), docs.schema)
-        else:
-            rows = rows.mapInArrow(step(tests, k == 0, True, None), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return rows
+    blocks = blocks_of(benchmark, block_bytes)
+    block, k = next(blocks), 0
+    while True:
+        after = next(blocks, None)
+        tests = spark.sparkContext.broadcast(TestSuffixes(block, window))
+        if not after:
+            return rows.mapInArrow(step(tests, k == 0, True), plain if keep_rows else RESULT)
+        rows = scratch.put(rows.mapInArrow(step(tests, k == 0, False), carried), f"block{k}")
+        tests.destroy()
+        block, k = after, k + 1
 
 
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scan(docs, read(spark, sf_dir, "benchmark"))
+    return scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

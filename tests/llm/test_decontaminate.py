@@ -4,6 +4,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinfold.llm.decontaminate import Shard, TestSuffixes, op5_suffix_arrays, scan, words_of
 from tests.llm.helpers import table
@@ -37,8 +38,32 @@ def brute(docs, items, window=13):
     return sorted(out, key=str)
 
 
-def found(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)
+def occurs(part, item_words):
+    return any(item_words[k : k + len(part)] == part for k in range(len(item_words) - len(part) + 1))
+
+
+def longest(text, items, window):
+    """Words of the longest run that starts with an occurring window and occurs in an item."""
+    w, split = words(text), [words(t) for i, t in items if i is not None]
+    windows = {tuple(x[k : k + window]) for x in split for k in range(max(1, len(x) - window + 1) if x else 0)}
+    best = 0
+    for p in range(len(w)):
+        if any(tuple(w[p : p + n]) in windows for n in {len(x) for x in windows}):
+            best = max(best, max(n for n in range(1, len(w) - p + 1) if any(occurs(w[p : p + n], x) for x in split)))
+    return best
+
+
+def found(df, docs=None, items=(), window=13):
+    rows = df.collect()
+    if docs is not None:
+        texts = {r[0]: words(r[1]) for r in docs}
+        want = sorted(longest(r[1], items, window) for r in docs)
+        assert sorted(r.match_words or 0 for r in rows) == want
+        for r in rows:
+            if r.match_words:
+                part = texts[r.doc_id][r.match_at : r.match_at + r.match_words]
+                assert len(part) == r.match_words and any(i == r.match_item and words(t)[r.match_item_at : r.match_item_at + r.match_words] == part for i, t in items)
+    return sorted((tuple(r)[:6] for r in rows), key=str)
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
@@ -62,9 +87,11 @@ def test_odd_rows_blocks_and_empty(spark, tmp_path):
     d = table(spark, tmp_path, "documents", ODD_DOCS, DOCS)
     table(spark, tmp_path, "benchmark", [(*r, "q") for r in ODD_ITEMS], ITEMS)
     want = brute([r[:2] for r in ODD_DOCS], [(i, t) for i, t in ODD_ITEMS])
-    assert found(op5_suffix_arrays(spark, d)) == want
+    assert found(op5_suffix_arrays(spark, d), [r[:2] for r in ODD_DOCS], ODD_ITEMS) == want
     docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.createDataFrame([(*r, "q") for r in ODD_ITEMS], ITEMS)
-    assert found(scan(docs, items, block_bytes=10)) == want
+    assert found(scan(docs, items, block_bytes=10), [r[:2] for r in ODD_DOCS], ODD_ITEMS) == want
+    clash = scan(docs.withColumn("_found", F.lit(1)), items, block_bytes=10, keep_rows=True)
+    assert clash.columns[-1] == "_found" and clash.count() == sum(not r[5] for r in want)
     kept = scan(docs, items, keep_rows=True)
     assert kept.columns == docs.columns and kept.count() == sum(not r[5] for r in want)
     e = table(spark, tmp_path / "e", "documents", [], DOCS)
@@ -75,16 +102,20 @@ def test_odd_rows_blocks_and_empty(spark, tmp_path):
 
 def test_longest_matches():
     text = " ".join(f"w{i}" for i in range(20))
-    shard = Shard([words_of("x y " + text + " w3"), words_of(text[:60])], TestSuffixes([(7, "q " + text)], window=4))
-    n = len(words_of(text[:60]))
-    assert shard.longest() == [(7, 0, 2, 20), (7, 1, 0, n - (text[:60].split()[-1] != f"w{n - 1}"))]
+    assert Shard([words_of("x y " + text + " w3")], TestSuffixes([(7, "q " + text)], window=4)).hits()[2] == [(20, 2, 7, 1)]
+    tests = TestSuffixes([(3, "w0 w1 w2 zz w1 w2 w3")], window=3)
+    assert Shard([words_of("w0 w1 w2 w3"), words_of("a b")], tests).hits()[2] == [(3, 0, 3, 0), None]
+    shared = [(i, f"own{i} " + text) for i in range(50)]
+    items, _, best = Shard([words_of(text), words_of("own9 " + text)], TestSuffixes(shared, window=13)).hits()
+    assert items == [list(range(50))] * 2 and best[1] == (21, 0, 9, 0)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcX"), max_size=12), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc"), max_size=7), max_size=5))
 def test_against_brute_force(docs, items):
     docs, items = [" ".join(d) for d in docs], [(i, " ".join(x)) for i, x in enumerate(items)]
-    counts, own, _ = Shard([words_of(d) for d in docs], TestSuffixes(items, window=3)).hits()
+    own, hit, best = Shard([words_of(d) for d in docs], TestSuffixes(items, window=3)).hits()
     want = {r[0]: r for r in brute(list(enumerate(docs)), items, 3)}
     for k in range(len(docs)):
-        assert (counts[k], len(own[k])) == want[k][2:4]
+        assert (len(hit[k]), len(own[k])) == want[k][2:4]
+        assert (best[k][0] if best[k] else 0) == longest(docs[k], items, 3)
