@@ -15,7 +15,9 @@ them and ``unescape`` is exact; line breaks and backslashes of roles are escaped
 
 Conversations are hashed to partitions, sorted and streamed, so memory holds one conversation's
 messages, not a partition. Null text and null role are empty; null conv_id is one conversation;
-null seq comes first; ties in seq keep kind, turn, role and text order. An empty log gives no rows.
+null seq comes first; ties in seq keep kind, turn, role and text order. An empty log gives no rows. A
+conversation is folded by one task, which holds its messages. In the query, rows of the table with
+conv_id -1 are one conversation with the control rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import Scratch, read, released, session, ship
@@ -142,9 +145,33 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "loss").mapInArrow(released(digest), schema)
 
 
-def conversation_log(conversations: DataFrame) -> DataFrame:
-    """The table's rows as an event log: a message per row, in turn order."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+def conversation_log(conversations: DataFrame, piece: int = 64) -> DataFrame:
+    """The event log that a chat service would have kept of the table's rows, in turn order (then role and
+    text). By a hash of its conversation and place, a message is logged whole; as an opening and the
+    deltas of its text, ``piece`` characters each; as a draft that is regenerated and streamed again; or as
+    deltas of a draft that an edit replaces. Nulls in role and text are empty."""
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    streamed = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    draft = F.concat(F.lit("(draft) "), F.reverse(F.substring("text", 1, piece)))
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    deltas = F.transform(streamed, lambda t: event("delta", t))
+    empty = F.lit("")
+    ways = [
+        F.array(event("message", F.col("text"))),
+        F.concat(F.array(event("message", empty)), deltas),
+        F.concat(F.array(event("message", draft), event("delta", F.lit(" ...")), event("regenerate", empty)), deltas),
+        F.array(event("delta", draft), event("delta", F.lit(" ...")), event("edit", F.col("text"))),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "n"), F.lit(len(ways)))
+    chosen = ways[0]
+    for k in range(1, len(ways)):
+        chosen = F.when(way == k, ways[k]).otherwise(chosen)
+    events = rows.select("conv_id", "n", "role", F.posexplode(chosen).alias("step", "e"))
+    return events.select("conv_id", F.struct("n", "step").alias("seq"), F.col("e.kind").alias("kind"), F.col("n").alias("turn"), "role", F.col("e.text").alias("text"))
 
 
 def op10_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

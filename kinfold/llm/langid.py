@@ -11,7 +11,8 @@ rows, then to the first name.
 
 Null texts and texts without a letter are ``und``, score 0 and rejected. With one learned language
 every text with a letter is that language, score 1. Without any, every text is ``und``. Every row is
-classified by its text alone, so repeated rows agree.
+classified by its text alone, so repeated rows agree. The dictionaries are broadcast together: at most
+``max_langs`` of ``dict_bytes`` each; more languages are an error.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import read, released, session, ship
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
+NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(NUMBERS)}]+")
+"""What is no letter; numerals such as a half or a circled one count as word characters elsewhere."""
 UND = "und"
 
 
@@ -76,7 +79,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 131_072, **options) -> Model:
+def train(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 131_072, max_langs: int = 512, **options) -> Model:
     """Fit on rows with a language. Each task keeps at most ``docs_per_lang`` rows a language before
     the shuffle, so a language with most of the rows is no burden on one task."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") < dict_bytes))
@@ -88,6 +91,8 @@ def train(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 131_072,
         plain = letters(r.text).encode()
         if plain and size.get(r.lang, 0) + len(plain) < dict_bytes and plain not in held.get(r.lang, ()):
             held.setdefault(r.lang, []).append(plain)
+            if len(held) > max_langs:
+                raise ValueError(f"more than {max_langs} languages; raise max_langs")
             size[r.lang] = size.get(r.lang, 0) + len(plain) + 1
     counts = {r.lang: r["count"] for r in docs.where(F.col("lang").isin(*held)).groupBy("lang").count().collect()} if held else {}
     return Model({k: b" ".join(v) for k, v in held.items()}, counts, **options)

@@ -9,13 +9,15 @@ wins, since later starts must be strictly better.
 
 The pieces and scores are those of a sentencepiece model file, whose path is a parameter; scores are
 whole numbers, so sums are exact in any order. Words are counted once and kept in two generations of
-at most ``limit`` words. A line break ends a word's lattice if no piece has one.
+at most ``limit`` words. A line break ends a word's lattice if no piece has one; ASCII spaces alone mark
+words, and the model file's own normaliser is not applied.
 
 Null and empty texts have no pieces. Every row is counted by its text alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,6 +50,7 @@ class Counter:
         for piece, s in dict(pieces).items():
             self.automaton.add_word(piece, (len(piece), s))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.cut_lines = not any("\n" in p for p, _ in pieces)
         self.new: dict[str, tuple[int, float, int]] = {}
@@ -55,28 +58,31 @@ class Counter:
         self.limit = limit
 
     def viterbi(self, word: str) -> tuple[int, float, int]:
-        """(pieces, score, bytes of unknown characters) of the best path through one word."""
-        n = len(word)
-        best: list = [None] * (n + 1)
-        best[0] = (0, 0.0, 0)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for end, found in self.automaton.iter(word):
-            ends[end + 1].append(found)
-        for at in range(1, n + 1):
+        """(pieces, score, bytes of unknown characters) of the best path through one word. Only the paths to
+        the last characters that a piece can span are kept."""
+        ring = self.longest + 1
+        best: list = [(0, 0.0, 0)] * ring
+        found, matches, end = [], self.automaton.iter(word), 0
+        following = next(matches, None)
+        for end in range(1, len(word) + 1):
+            found.clear()
+            while following and following[0] == end - 1:
+                found.append(following[1])
+                following = next(matches, None)
+            found.sort(reverse=True)
             top, score, single = None, 0.0, False
-            for length, s in sorted(ends[at], reverse=True):  # the longest starts first and wins ties
+            for length, s in found:  # the longest starts first and wins ties
                 single = single or length == 1
-                before = best[at - length]
+                before = best[(end - length) % ring]
                 if top is None or before[1] + s > score:
                     top, score = before, before[1] + s
-            if not single:
-                before = best[at - 1]
-                if top is None or before[1] + self.unknown > score:
-                    raw = len(word[at - 1].encode("utf-8", "surrogatepass"))
-                    best[at] = (before[0] + raw, before[1] + self.unknown, before[2] + raw)
-                    continue
-            best[at] = (top[0] + 1, score, top[2])
-        return best[n]
+            before = best[(end - 1) % ring]
+            if not single and (top is None or before[1] + self.unknown > score):
+                raw = len(word[end - 1].encode("utf-8", "surrogatepass"))
+                best[end % ring] = (before[0] + raw, before[1] + self.unknown, before[2] + raw)
+            else:
+                best[end % ring] = (top[0] + 1, score, top[2])
+        return best[len(word) % ring]
 
     def words(self, text: str) -> list[str]:
         """Lattices of a text: marked words, cut at line breaks."""
@@ -113,18 +119,22 @@ class Counter:
         return sum(n), sum(score), sum(raw)
 
 
-def counter_for(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(load_pieces(path))
-    return _counters[path]
+def counter_for(name: str, pieces) -> Counter:
+    """The worker's counter of a vocabulary, built when it is first asked for."""
+    if name not in _counters:
+        _counters[name] = Counter(pieces())
+    return _counters[name]
 
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_tokens, n_bytes, score) per row of ``docs``; no shuffle."""
+    """(doc_id, n_tokens, n_bytes, score) per row of ``docs``; no shuffle. The driver reads the pieces from
+    the path ``model``; workers get the pieces."""
     ship(session(docs))
+    pieces = load_pieces(model)
+    name, shared = hashlib.sha256(repr(pieces).encode()).hexdigest(), session(docs).sparkContext.broadcast(pieces)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_for(model)
+        counter = counter_for(name, lambda: shared.value)
         for batch in batches:
             found = [counter.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

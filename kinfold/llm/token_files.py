@@ -7,15 +7,19 @@ and each plane compressed with zstandard. ``chunks`` is the chunk index (offset
 plane of every block and the ids in the block), ``docs`` the documents with their token counts.
 Spark's committer writes the parts, so retried tasks leave no torn files on any shared store.
 
-A segment closes after ``segment_ids`` ids; a document longer than that has a segment of its own.
-Null text is empty. Null doc_ids come first. Rows with equal doc_id stay in hash order of the text.
+A segment closes with the document that brings it to ``segment_ids`` ids, so it holds whole documents and
+may be longer by the last one. Null text is empty. Null doc_ids come first. Rows with equal doc_id stay
+in hash order of the text and are parted by it, and equal rows by the task that read them, so no part
+need hold them all.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -29,8 +33,8 @@ from kinfold.llm.common import Scratch, read, released, runs, session, ship, shu
 
 SEGMENT_SCHEMA = (
     "part int, seq int, plane string, n_ids long, payload binary, "
-    "chunks array<struct<n_ids:int,offsets:array<int>,lengths:array<int>>>, "
-    "docs array<struct<doc_id:long,n_tokens:int>>"
+    "chunks array<struct<n_ids:int,offsets:array<long>,lengths:array<int>>>, "
+    "docs array<struct<doc_id:long,n_tokens:long>>"
 )
 _tokenizers: dict[str, "WordCache"] = {}
 
@@ -45,10 +49,10 @@ class WordCache:
     them as they are, and parted at those ids. Texts are lower-cased first, which the tokenizer does
     too, wherever the two orders give one result."""
 
-    def __init__(self, path: str, limit: int = 48 << 20):
+    def __init__(self, definition: str, limit: int = 48 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words, self.ids, self.ends, self.limit = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64), limit
@@ -139,10 +143,11 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def tokenizer_for(path: str) -> WordCache:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordCache(path)
-    return _tokenizers[path]
+def tokenizer_for(definition: str) -> WordCache:
+    name = hashlib.sha256(definition.encode()).hexdigest()
+    if name not in _tokenizers:
+        _tokenizers[name] = WordCache(definition)
+    return _tokenizers[name]
 
 
 def to_planes(ids: np.ndarray, plane: str) -> list[bytes]:
@@ -185,19 +190,21 @@ def unpack(payload: bytes, chunks: list[dict], plane: str) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, plane: str = "byte", block_ids: int = 65536, segment_ids: int = 1 << 20, level: int = 3) -> DataFrame:
-    """The token table's segments, in ascending doc_id order over (part, seq)."""
+    """The token table's segments, in ascending doc_id order over (part, seq). ``tokenizer`` is the path of
+    a tokenizer file that the driver reads; its content is what workers get."""
     ship(session(docs))
+    shared = session(docs).sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     schema = pa.schema([
         ("part", pa.int32()), ("seq", pa.int32()), ("plane", pa.string()), ("n_ids", pa.int64()), ("payload", pa.binary()),
-        ("chunks", pa.list_(pa.struct([("n_ids", pa.int32()), ("offsets", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))]))),
-        ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int32())]))),
+        ("chunks", pa.list_(pa.struct([("n_ids", pa.int32()), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))]))),
+        ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64())]))),
     ])
     end = struct.pack("<I", end_id)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, cache = TaskContext.get().partitionId(), tokenizer_for(tokenizer)
+        part, cache = TaskContext.get().partitionId(), tokenizer_for(shared.value)
         seq, held, n, owners = 0, [], 0, []
 
         def segment() -> pa.RecordBatch:
@@ -217,8 +224,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, plane: str =
         if owners:
             yield segment()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    ordered = rows.repartitionByRange(shuffle_width(session(docs)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("_h"), F.spark_partition_id().alias("_p"))
+    ordered = rows.repartitionByRange(shuffle_width(session(docs)), "doc_id", "_h", "_p").sortWithinPartitions("doc_id", "_h", "_p").select("doc_id", "text")
     return ordered.mapInArrow(released(encode), SEGMENT_SCHEMA)
 
 
@@ -260,7 +267,7 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 
 def token_table(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write the token files to the shared folder, read them back, one row per document."""
-    segments = Scratch(session(docs), "tokens").put(write_tokens(docs, tokenizer, **options), "segments")
+    segments = Scratch(session(docs), "tokens").put(write_tokens(docs, tokenizer, **options), "segments", "none")
     out = read_tokens(segments).join(segment_starts(segments), ["part", "seq"])
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

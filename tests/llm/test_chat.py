@@ -3,7 +3,7 @@ import hashlib
 from hypothesis import given
 from hypothesis import strategies as st
 
-from kinfold.llm.chat import CONTROL_TEXT, escape, fold, format_log, op10_event_log, parse, render, unescape
+from kinfold.llm.chat import CONTROL_TEXT, conversation_log, escape, fold, format_log, op10_event_log, parse, render, unescape
 from tests.llm.helpers import table
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -44,6 +44,15 @@ def test_events_are_folded_in_order(spark):
     assert [r.formatted[s.start : s.end] for s in r.loss] == ["Bye"]
 
 
+def test_logs_hold_every_kind_of_event(spark, sf):
+    table_ = spark.read.parquet(f"{sf}/conversations.parquet")
+    log = conversation_log(table_)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) >= 10
+    assert log.where("kind = 'delta'").count() > table_.count()
+    assert log.select("conv_id", "seq").distinct().count() == log.count()
+
+
 def test_fold_of_unknown_targets():
     assert fold([("regenerate", 3, None, None), ("edit", 1, "user", "a"), ("delta", 1, None, "b")]) == [("user", "ab")]
 

@@ -52,3 +52,10 @@ def test_stage_keeps_columns_and_drops_rejected(spark, tmp_path):
 def test_without_languages_everything_is_undetermined():
     assert Model({}).classify("some words") == ("und", 0.0, False)
     assert Model({"xx": b"abc"}).classify("some words") == ("xx", 1.0, True)
+
+
+def test_numbers_are_no_letters():
+    model = Model({"en": b"the cat sat", "de": b"die katze"})
+    for text in ("½ ²", "Ⅷ ①", "12 ٣ ४", "_-", "㊿ ⅓"):
+        assert letters(text) == "" and model.classify(text) == ("und", 0.0, False)
+    assert letters("a½b Ωm3") == "a b ωm"

@@ -32,7 +32,7 @@ def test_odd_rows_and_empty(spark, tmp_path, exact):
 
 @pytest.mark.parametrize("text", ["", " ", "  a", "a  b ", "a▁b", "▁", "\n", "a\n\nb \n c", "<s> <0x41></s>", "日本 \U0001f600x", "a" * 300, "abc" * 5000 + " " + "abc" * 5000, "İß ́x", "\x1c\x85 　"])
 def test_awkward_texts(text, exact):
-    assert counter_for(default_model()).count(text)[0] == exact(text)
+    assert counter_for("m", lambda: load_pieces(default_model())).count(text)[0] == exact(text)
 
 
 TIES = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁a", -3.0), ("bb", -3.0)] + [(f"<0x{i:02X}>", -50.0) for i in range(256)]

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import struct
 import zlib
 
@@ -47,6 +49,6 @@ def test_planes_round_trip(plane, n):
 
 def test_word_cache_equals_whole_text():
     t = Tokenizer.from_file(default_tokenizer())
-    cache = WordCache(default_tokenizer(), limit=300)
+    cache = WordCache(Path(default_tokenizer()).read_text(encoding="utf-8"), limit=300)
     for text in ["Don't stop.. 12 a1b2 <|endoftext|> x<|endoftext|>y", "é ́x Å b\x1cc d\x85e", "İstanbul ΣΑΣ ß ﬁ!!? ,. _a_", "日本 語 \U0001f600\U0001f600", "a b ​ c", "don't don't STOP.. stop..", "STOP, stop. J̌ a. é, ΑΣ. <|ENDOFTEXT|> 5. x5, İx."] * 2:
         assert cache.encode([text])[0] == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
