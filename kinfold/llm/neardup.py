@@ -37,61 +37,29 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import LOWER, Scratch, read, released, runs, session, ship, shuffle_width
 from kinfold.llm.components import components
+from kinfold.llm.words import BASE, mix, word_hashes
 
 CHUNKS, WIDTH, ERRORS, WORDS = 16, 6, 1, 5
 SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 SMALL, BLOCK, HEAVY = 128, 512, 1 << 15
 """Nodes of a group that one task takes whole, nodes of a block, shingles that count as a node more."""
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
+_rng = np.random.Generator(np.random.PCG64(5))
 _ODD = _rng.integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(0, 1 << 31, SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SYMBOLS).astype(np.uint32)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(0, np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser of 64-bit hashes."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 64, 2 * len(_powers)), _BASE, np.uint64)
-        p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    space = _SPACE[data]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    lengths = ends - starts
-    body = data[~space]
-    first = np.cumsum(lengths) - lengths
-    where = np.arange(len(body)) - np.repeat(first, lengths)
-    values = _BYTE[body] * powers(int(lengths.max(initial=0)) + 1)[where]
-    words = np.add.reduceat(values, first) if len(first) else np.zeros(0, np.uint64)
-    words = mix(words + lengths.astype(np.uint64) * _BASE)
-    limits = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+    words, limits = word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts])
     n = len(words)
     rolling = np.zeros(n, np.uint64)
     for k in range(WORDS):
         rolling[: max(n - k, 0)] += words[k:] * _ODD[k]
     rolling = mix(rolling)
     out, at = [], 0
-    for end in limits.tolist():
+    for end in limits:
         count = end - at
         if count >= WORDS:
             out.append(np.unique(rolling[at : end - WORDS + 1]))
@@ -112,7 +80,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 def set_id(shingles: np.ndarray) -> tuple[int, int]:
     """Two 64-bit numbers that name a set, whatever the order."""
-    return int(mix(shingles + _BASE).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(shingles ^ _ODD[0])).astype(np.int64)) if len(shingles) else 0
+    return int(mix(shingles + BASE).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(shingles ^ _ODD[0])).astype(np.int64)) if len(shingles) else 0
 
 
 def sketch(rows: DataFrame) -> DataFrame:

@@ -1,215 +1,30 @@
-"""Quality rules: base counts and modified Kneser-Ney n-gram models with perplexity bands.
-
-Two models judge a text. The one over word trigrams (``wordmodel``) grows with the corpus and gives
-the perplexity; the one over characters tells scrambled letters from words whatever the corpus.
-The character model is over characters in 64 classes (letters a-z, digits, white space, groups of signs, and
-hashed classes of other letters), order 4: an n-gram is 24 bits and packs into one integer without
-collisions, so a language's model is proven to hold at most 2**24 n-grams, whatever the corpus.
-
-Counting. Tasks count the packed 4-grams of whole texts per language; Spark sums the partial counts
-by (language, n-gram). Lower orders are continuation counts of those. Discounts D1, D2, D3+ per
-order come from the counts of counts. Log probabilities are stored in sorted arrays of packed
-n-grams and looked up by binary search; unseen n-grams back off with the context's weight.
-
-Bands. The mean log probability of a text is its log perplexity. A language's band is its median
-plus ``below`` and minus ``above`` robust deviations (quartile range / 1.349, at least ``floor``); the
-former is widened for short texts by ``1 + short / sqrt(characters)``, the latter is set by the labels. Texts outside are rejected, and so are
-those whose mean log probability of a word is more than ``words`` deviations below the median.
-
-Models are broadcast in groups of languages of at most ``model_bytes``; each further group is a
-further pass over its own languages' texts. Null text has no words and fails the base rules; null
-language is a language of its own. Repeated rows count as often as they occur and agree.
+"""Quality rules: base counts, and perplexity bands by a modified Kneser-Ney model of the corpus.
+
+The models (``wordmodel``) count all pairs of neighbouring words, and of the words' shapes, in all texts and
+score every text by the counts of the half it is not in. The mean log probability of a text's words is
+its log perplexity. A language's bands reach from its median some robust deviations (quartile range /
+1.349, with a floor) down and up: texts beyond the upper perplexity bounds have words, or are built, as
+hardly any other text of their language; those below the lower ones repeat what many others say. Medians
+and quartiles are exact, of log probabilities in whole thousandths, so bands do not depend on partitions;
+every language, whatever its script, has its own.
+
+Null text has no words and fails the base rules; null language is a language of its own. Repeated rows
+count as often as they occur and agree. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import Scratch, read, released, runs, session, ship
-from kinfold.llm.wordmodel import text_key, word_scores
+from kinfold.llm.common import Scratch, read, session
+from kinfold.llm.wordmodel import word_scores
 
-ORDER, BITS = 4, 6
 SYMBOLS = "#*$%&|<>"
-_MIX = 2654435761
-
-
-def class_table() -> np.ndarray:
-    """Class of each code point below 0x250; 0 is the padding before a text."""
-    t = np.zeros(0x250, np.uint8)
-    for c in range(0x250):
-        s = chr(c).lower()
-        low = ord(s[0])
-        if 97 <= low <= 122:
-            t[c] = low - 96
-        elif 48 <= c <= 57:
-            t[c] = 27
-        elif c == 10:
-            t[c] = 29
-        elif s.isspace():
-            t[c] = 28
-        elif s in ".,":
-            t[c] = 30
-        elif s in ";:!?":
-            t[c] = 31
-        elif s in "'\"()[]{}`":
-            t[c] = 32
-        elif s in SYMBOLS:
-            t[c] = 33
-        elif c < 32 or 127 <= c < 160:
-            t[c] = 35
-        elif s[0].isalpha():
-            t[c] = 36 + (low * _MIX >> 7) % 24
-        else:
-            t[c] = 34
-    return t
-
-
-CLASSES = class_table()
-
-
-def classes(text: str) -> np.ndarray:
-    """Class of every character; characters from U+0250 up share three hashed classes."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    known = cp < len(CLASSES)
-    if known.all():
-        return CLASSES[cp]
-    return np.where(known, CLASSES[np.where(known, cp, 0)], 60 + (cp * np.uint32(_MIX) >> np.uint32(20)) % 3).astype(np.uint8)
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams of all texts, each text padded in front, and where each text's n-grams end."""
-    parts = []
-    for t in texts:
-        parts += [np.zeros(ORDER - 1, np.uint8), classes(t)]
-    ends = np.cumsum([len(t) for t in texts])
-    if not parts:
-        return np.zeros(0, np.uint32), ends
-    c = np.concatenate(parts).astype(np.uint32)
-    key = c[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        key |= c[ORDER - 1 - k : len(c) - k] << np.uint32(BITS * k)
-    keep = np.ones(len(key), bool)  # n-grams that end on padding belong to no text
-    at = 0
-    for t in texts[:-1]:
-        at += len(t)
-        keep[at : at + ORDER - 1] = False
-        at += ORDER - 1
-    return key[keep], ends
-
-
-def batches_of(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive whole texts of about ``limit`` characters."""
-    held, size, start = [], 0, 0
-    for i, t in enumerate(texts):
-        held.append(t)
-        size += len(t)
-        if size >= limit:
-            yield start, held
-            held, size, start = [], 0, i + 1
-    if held:
-        yield start, held
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all texts: partial counts per task, summed by Spark."""
-    ship(session(docs))
-
-    def merged(held: dict, lang, keys: np.ndarray, n: np.ndarray) -> None:
-        if lang in held:
-            keys, n = np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], n])
-            keys, inverse = np.unique(keys, return_inverse=True)
-            n = np.bincount(inverse, weights=n).astype(np.int64)
-        held[lang] = (keys, n)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for batch in (part for whole in batches for part in runs(whole, 1, 1 << 22)):
-            by: dict = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                for _, some in batches_of(texts):
-                    merged(held, lang, *np.unique(grams(some)[0], return_counts=True))
-        for lang, (keys, n) in held.items():
-            for i in range(0, len(keys), 1 << 18):
-                part = keys[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int32)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], names=["lang", "gram", "n"])
-
-    partial = docs.select("lang", "text").mapInArrow(released(run), "lang string, gram int, n long")
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D1, D2, D3+ of modified Kneser-Ney from the counts of counts, 0 for a count of 0."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9 * 3]
-    return np.array([0.0] + [min(max(x, 0.01), k + 0.99) for k, x in enumerate(d)])
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney over packed n-grams; ``keys``, ``logp`` and ``backoff`` of each
-    order are sorted arrays. Order k n-grams have 6k bits; the oldest class is in the highest bits."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray, order: int = ORDER):
-        self.order = order
-        at = np.argsort(gram)
-        levels = [(gram[at].astype(np.uint32), n[at].astype(np.float64))]
-        for k in range(order - 1, 0, -1):  # continuation counts: distinct left extensions
-            keys, counts = np.unique(levels[0][0] & np.uint32((1 << BITS * k) - 1), return_counts=True)
-            levels.insert(0, (keys, counts.astype(np.float64)))
-        self.keys, self.logp, self.backoff = [], [], []
-        lower = None
-        for k, (keys, counts) in enumerate(levels, 1):
-            context = keys >> np.uint32(BITS)
-            d = discounts(counts)[np.minimum(counts, 3).astype(int)]
-            ctx, inverse = np.unique(context, return_inverse=True)
-            total = np.bincount(inverse, weights=counts)
-            saved = np.bincount(inverse, weights=d) / total
-            if k == 1:
-                p = (counts - d) / total[inverse] + saved[inverse] / 64
-            else:
-                own = lower[1][np.searchsorted(lower[0], keys & np.uint32((1 << BITS * (k - 1)) - 1))]
-                p = (counts - d) / total[inverse] + saved[inverse] * own
-            self.keys.append(keys)
-            self.logp.append(np.log(p).astype(np.float32))
-            self.backoff.append((ctx, np.log(saved).astype(np.float32)))
-            lower = (keys, p)
-        self.uniform = np.float32(self.backoff[0][1][0] - np.log(64)) if len(gram) else np.float32(-np.log(64))
-
-    def nbytes(self) -> int:
-        return sum(k.nbytes + p.nbytes for k, p in zip(self.keys, self.logp, strict=True)) + sum(a.nbytes + b.nbytes for a, b in self.backoff)
-
-    @staticmethod
-    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-        return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        """Log probability of each packed n-gram's last class after the others."""
-        out, todo = np.zeros(len(gram), np.float32), np.arange(len(gram))
-        for k in range(self.order, 0, -1):
-            wanted = gram[todo] & np.uint32((1 << BITS * k) - 1)
-            at, known = self.find(self.keys[k - 1], wanted)
-            out[todo[known]] += self.logp[k - 1][at[known]]
-            todo = todo[~known]
-            if not len(todo):
-                return out
-            ctx, weight = self.backoff[k - 1]
-            at, seen = self.find(ctx, wanted[~known] >> np.uint32(BITS))
-            if k > 1:
-                out[todo[seen]] += weight[at[seen]]
-        out[todo] += self.uniform
-        return out
+FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -243,95 +58,40 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < 50 or 100 * n_repeat > 50 * n_words
 
 
-def train(docs: DataFrame, scratch: Scratch) -> dict[str | None, KneserNey]:
-    """One model per language; the driver builds them one at a time from summed counts."""
-    counts = scratch.put(count_grams(docs), "counts")
-    langs = [r.lang for r in counts.select("lang").distinct().collect()]
-    out = {}
-    for lang in langs:
-        t = counts.where(F.col("lang").eqNullSafe(F.lit(lang))).select("gram", "n").toArrow()
-        out[lang] = KneserNey(t["gram"].to_numpy().astype(np.uint32), t["n"].to_numpy())
-    scratch.drop("counts")
-    return out
-
-
-def groups_of(models: dict, model_bytes: int) -> list[dict]:
-    """Models in groups that are safe to broadcast."""
-    groups, size = [{}], 0
-    for lang, m in sorted(models.items(), key=lambda x: str(x[0])):
-        if groups[-1] and size + m.nbytes() > model_bytes:
-            groups.append({})
-            size = 0
-        groups[-1][lang] = m
-        size += m.nbytes()
-    return groups
-
-
-def score(docs: DataFrame, models: dict[str | None, KneserNey], model_bytes: int = 256 << 20) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, logp, key)."""
-    ship(session(docs))
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, logp double, key long"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def scorer(shared):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in runs(whole, 2, 1 << 22)):
-                langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                means = np.zeros(len(texts))
-                by: dict = {}
-                for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
-                    if text:
-                        by.setdefault(lang, []).append(i)
-                for lang, at in by.items():
-                    for first, some in batches_of([texts[i] for i in at]):
-                        gram, ends = grams(some)
-                        total = np.concatenate([[0.0], np.cumsum(shared.value[lang].score(gram), dtype=np.float64)])
-                        starts = np.concatenate([[0], ends[:-1]])
-                        means[at[first : first + len(some)]] = (total[ends] - total[starts]) / (ends - starts)
-                base = [base_counts(t) for t in texts]
-                columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([len(t or "") for t in texts], pa.int64()), pa.array(means), batch.column(3)], names=names)
+def quartiles(scored: DataFrame, column: str) -> DataFrame:
+    """(lang, q1, q2, q3): the least thousandth that has a quarter, half, three quarters of the texts with
+    words at or below it. Counts by thousandth are summed first, so a language is a few thousand rows."""
+    bins = scored.where("n_scored > 0").groupBy("lang", F.floor(F.col(column) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    over = W.partitionBy("lang")
+    so_far = F.sum("n").over(over.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(over)
+    found = bins.withColumn("share", so_far)
+    return found.groupBy("lang").agg(*[(F.min(F.when(F.col("share") >= k / 4, F.col("bin"))) / 1000).alias(f"q{k}") for k in (1, 2, 3)])
 
-        return released(run)
 
-    rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", text_key().alias("key")), None
-    groups = groups_of(models, model_bytes)
-    for group in groups:
-        own = rows
-        if len(groups) > 1:
-            hit = F.lit(False)
-            for lang in group:
-                hit = hit | F.col("lang").eqNullSafe(F.lit(lang))
-            own = rows.where(hit)
-        part = own.mapInArrow(scorer(session(docs).sparkContext.broadcast(group)), schema)
-        out = part if out is None else out.unionByName(part)
-    if len(groups) > 1:  # languages without any text have no model
-        known = F.lit(False)
-        for lang in models:
-            known = known | F.col("lang").eqNullSafe(F.lit(lang))
-        out = out.unionByName(rows.where(~known).mapInArrow(scorer(session(docs).sparkContext.broadcast({})), schema))
-    return out
+BANDS = {"word_logp": (5.0, 12.0, 0.05), "shape_logp": (9.0, 9.0, 0.05)}
+"""Robust deviations below and above a language's median log probability that a text may be, and the least deviation."""
 
 
-def judge(scored: DataFrame, below: float = 5.0, above: float = 5.0, floor: float = 0.02, short: float = 8.0, words: float = 3.0) -> DataFrame:
-    """Add perplexity, base_failed and kept. The bands are one row per language."""
-    measured = scored.where(F.col("chars") > 0).groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(q) for c, q in (("logp", "_q"), ("word_logp", "_w"))])
-    bands = measured.select(F.col("lang").alias("_lang"), F.col("_q")[1].alias("_mid"), F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(floor)).alias("_dev"), (F.col("_w")[1] - F.lit(words) * F.greatest((F.col("_w")[2] - F.col("_w")[0]) / 1.349, F.lit(floor))).alias("_least"))
-    wide = F.col("_dev") * (1 + F.lit(short) / F.sqrt(F.greatest(F.col("chars"), F.lit(1))))
-    low, high = F.col("_mid") - F.lit(above) * F.col("_dev"), F.col("_mid") + F.lit(below) * wide
-    inside = F.coalesce(F.col("logp").between(low, high) & (F.col("word_logp") >= F.col("_least")), F.lit(False))
+def judge(scored: DataFrame, bands: dict[str, tuple[float, float, float]] = BANDS) -> DataFrame:
+    """Add perplexity, base_failed and kept. The bands are one row for each language."""
+    out, inside = scored, F.lit(True)
+    for column, (low, high, floor) in bands.items():
+        dev = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(floor))
+        limits = quartiles(scored, column).select(F.col("lang").alias("_lang"), (F.col("q2") - F.lit(low) * dev).alias("_low"), (F.col("q2") + F.lit(high) * dev).alias("_high"))
+        out = out.join(F.broadcast(limits), out["lang"].eqNullSafe(F.col("_lang")), "left")
+        out = out.withColumn(f"_{column}", F.col(column).between(F.col("_low"), F.col("_high"))).drop("_lang", "_low", "_high")
+        inside = inside & F.coalesce(F.col(f"_{column}"), F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    joined = scored.join(bands, scored["lang"].eqNullSafe(F.col("_lang")), "left")
-    return joined.select(*scored.columns, F.exp(-F.coalesce("word_logp", F.lit(0.0))).alias("perplexity"), failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    perplexity = [F.exp(-F.col(c)).alias(n) for c, n in (("word_logp", "perplexity"), ("shape_logp", "shape_perplexity"))]
+    return out.select(*scored.columns, *perplexity, failed.alias("base_failed"), (~failed & inside).alias("kept"))
 
 
-def rate(docs: DataFrame, **bands) -> DataFrame:
+def rate(docs: DataFrame, bands: dict[str, tuple[float, float, float]] = BANDS) -> DataFrame:
     """Counts, perplexity and verdict of every row of ``docs``."""
     scratch = Scratch(session(docs), "quality")
-    scored = score(docs, train(docs, scratch)).join(word_scores(docs, scratch), "key", "left")
-    return judge(scratch.put(scored, "scored"), **bands)
+    return judge(scratch.put(word_scores(docs, base_counts, FACTS, scratch), "scored"), bands)
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rate(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("perplexity", 4).alias("perplexity"))
+    return out.select("doc_id", *FACTS, "base_failed", "kept", *[F.round(c, 4).alias(c) for c in ("perplexity", "shape_perplexity")])

@@ -1,19 +1,33 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
+import kinfold.llm.wordmodel as wm
 from kinfold.llm.common import Scratch
-from kinfold.llm.quality import rate
-from kinfold.llm.wordmodel import positions, text_key, word_scores
+from kinfold.llm.quality import FACTS, base_counts, rate
+from kinfold.llm.wordmodel import expand, half_of, shapes, squeeze, squeeze_sorted, expand_sorted, word_scores
 from tests.llm.helpers import odd_rows, table
 
 
+def tokens(text):
+    """Lower-cased words, every character from U+3000 to U+9FFF a word of its own."""
+    return re.findall("[\u3000-\u9fff]|[^\x20\x09-\x0d\u3000-\u9fff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def outlines(text):
+    def sign(c):
+        return "a" if c > "\x7f" or "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "9" if "0" <= c <= "9" else c
+
+    return [re.sub(r"(.)\1+", r"\1", "".join(map(sign, w)), flags=re.S) for w in re.findall("[^\x20\x09-\x0d]+", text)]
+
+
 def plain(rows, scored, words):
     """Mean log probability under the model of ``rows`` by definition, ``words`` the vocabulary's size."""
-    tri = Counter(g for t in rows for g in zip(["", "", *t], ["", *t], t))
-    bi = Counter((v, w) for _, v, w in tri)
+    bi = Counter(g for t in rows for g in zip(["", *t], t))
     uni = Counter(w for _, w in bi)
 
     def discount(counts):
@@ -24,47 +38,74 @@ def plain(rows, scored, words):
         raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.7]
         return [0, *[min(max(x, 0.01), k + 0.99) for k, x in enumerate(raw)]]
 
-    levels = []
-    for counts, context in ((uni, lambda g: ()), (bi, lambda g: g[:1]), (tri, lambda g: g[:2])):
-        d, by = discount(counts), defaultdict(list)
-        for g, n in counts.items():
-            by[context(g)].append(n)
-        levels.append((counts, d, by))
-
-    def p(k, g):
-        if k < 0:
-            return 1 / words
-        counts, d, by = levels[k]
-        own = by.get(() if k == 0 else g[-1 - k : -1])
-        if not own:
-            return p(k - 1, g)
-        n = counts.get(g[-1] if k == 0 else g[-1 - k :], 0)
-        return (n - d[min(n, 3)] + sum(d[min(m, 3)] for m in own) * p(k - 1, g)) / sum(own)
-
-    return [math.fsum(math.log(p(2, g)) for g in zip(["", "", *t], ["", *t], t)) / len(t) for t in scored]
-
-
-def test_scores_are_those_of_the_other_half(spark):
-    rng = random.Random(3)
-    texts = sorted({" ".join(rng.choice("abcdefgh") * rng.choice((1, 1, 2)) for _ in range(rng.randint(1, 30))) for _ in range(40)})
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    keys = {r.text: r.key for r in docs.select("text", text_key().alias("key")).collect()}
-    got = {r.key: r.word_logp for r in word_scores(docs, Scratch(spark, "t")).collect()}
-    vocabulary = len({w for t in texts for w in t.split()})
-    for half in (0, 1):
-        own, other = ([t.split() for t in texts if keys[t] % 2 == h] for h in (half, 1 - half))
-        for t, want in zip([t for t in texts if keys[t] % 2 == half], plain(other, own, vocabulary), strict=True):
-            assert math.isclose(got[keys[t]], want, rel_tol=1e-9), t
+    d1, d2, by = discount(uni), discount(bi), defaultdict(list)
+    for (v, _), n in bi.items():
+        by[v].append(n)
+    total = sum(uni.values())
+
+    def p(v, w):
+        one = (uni.get(w, 0) - d1[min(uni.get(w, 0), 3)] + sum(d1[min(n, 3)] for n in uni.values()) / words) / total if total else 1 / words
+        if v not in by:
+            return one
+        n = bi.get((v, w), 0)
+        return (n - d2[min(n, 3)] + sum(d2[min(m, 3)] for m in by[v]) * one) / sum(by[v])
+
+    return [math.fsum(math.log(p(*g)) for g in zip(["", *t], t)) / len(t) if t else 0.0 for t in scored]
+
+
+def texts_of(rng, n):
+    return sorted({" ".join(rng.choice(["a", "b", "C", "dé", "x1", "the&&", "日本", "|", "f."]) * rng.choice((1, 1, 2)) for _ in range(rng.randint(1, 40))) for _ in range(n)})
+
+
+def test_scores_are_those_of_the_other_half(spark, monkeypatch):
+    for chunk, seed in ((1 << 20, 3), (300, 4)):
+        monkeypatch.setattr(wm, "CHUNK", chunk)
+        texts = texts_of(random.Random(seed), 50) + ["", " \n"]
+        docs = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts) for lang in ("en", None)], "doc_id long, text string, lang string").repartition(3)
+        halves = {(r.doc_id, r.lang): r.h for r in docs.withColumn("h", half_of()).collect()}
+        got = {(r.doc_id, r.lang): r for r in word_scores(docs, base_counts, FACTS, Scratch(spark, "t")).collect()}
+        assert len(got) == len(halves)
+        for cut, name in ((tokens, "word_logp"), (outlines, "shape_logp")):
+            split = [cut(t) for t in texts]
+            vocabulary = len({w for t in split for w in t})
+            for lang in ("en", None):
+                for half in (0, 1):
+                    own, other = ([i for i in range(len(texts)) if halves[i, lang] == h] for h in (half, 1 - half))
+                    for i, want in zip(own, plain([split[k] for k in other], [split[k] for k in own], vocabulary), strict=True):
+                        assert math.isclose(got[i, lang][name], want, rel_tol=1e-9), (texts[i], name)
+        for (i, _), r in got.items():
+            assert tuple(r[f] for f in FACTS) == base_counts(texts[i]) and r.n_scored == len(tokens(texts[i]))
+
+
+def test_packing():
+    rng = np.random.default_rng(0)
+    for a in (rng.integers(0, 1 << 48, 1000, np.uint64), np.zeros(0, np.uint64), np.zeros(5, np.uint64), np.array([(1 << 48) - 1], np.uint64)):
+        assert (expand(squeeze(a)) == a).all() and (expand_sorted(squeeze_sorted(np.sort(a))) == np.sort(a)).all()
+    assert shapes("Ab&&  c99É".encode()) == b"Aa& a9a" and shapes(b"") == b""
 
 
 def test_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{table(spark, tmp_path, 'documents', odd_rows())}/documents.parquet")
-    assert all(math.isfinite(r.word_logp) for r in word_scores(docs, Scratch(spark, "t")).collect())
+    rows = word_scores(docs, base_counts, FACTS, Scratch(spark, "t")).collect()
+    assert len(rows) == len(odd_rows()) and all(math.isfinite(r.word_logp) and math.isfinite(r.shape_logp) for r in rows)
+
+
+def test_results_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r.doc_id: r for r in rate(docs.repartition(1)).collect()}
+    monkeypatch.setattr(wm, "CHUNK", 20_000)
+    many = {r.doc_id: r for r in rate(docs.repartition(7)).collect()}
+    assert all(many[k].kept == one[k].kept and math.isclose(many[k].word_logp, one[k].word_logp, rel_tol=1e-9) for k in one)
 
 
 def test_model_grows_with_the_corpus_and_sees_word_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
-    assert positions(docs).select("u", "v", "w").distinct().count() > 2 * positions(docs.where("doc_id % 3 = 0")).select("u", "v", "w").distinct().count()
+
+    def pairs(df):
+        chunks = wm.chunked(df, base_counts, Scratch(spark, "t")).where("layer = 0").collect()
+        return len(np.unique(np.concatenate([wm.opened(r.asDict(True)).keys for r in chunks])))
+
+    assert pairs(docs) > 2 * pairs(docs.where("doc_id % 3 = 0"))
     good = [r for r in docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").collect() if len(r.text.split()) >= 100][:40]
     rng, mixed = random.Random(2), []
     for r in good:
@@ -72,4 +113,4 @@ def test_model_grows_with_the_corpus_and_sees_word_order(spark):
         rng.shuffle(words)
         mixed.append((-10 - r.doc_id, " ".join(words), r.lang))
     judged = {r.doc_id: r.perplexity for r in rate(docs.unionByName(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))).where(F.col("doc_id").isin([r.doc_id for r in good] + [m[0] for m in mixed])).collect()}
-    assert sum(judged[-10 - r.doc_id] > judged[r.doc_id] for r in good) > 0.9 * len(good)
+    assert sum(judged[-10 - r.doc_id] > judged[r.doc_id] for r in good) > 0.8 * len(good)
