@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import Scratch, read, session
@@ -59,13 +58,10 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 
 
 def quartiles(scored: DataFrame, column: str) -> DataFrame:
-    """(lang, q1, q2, q3): the least thousandth that has a quarter, half, three quarters of the texts with
-    words at or below it. Counts by thousandth are summed first, so a language is a few thousand rows."""
+    """(lang, q) with the quartiles of a log probability among the texts with words, between neighbours in
+    proportion. Texts are counted by whole thousandths first, so a language is a few thousand numbers."""
     bins = scored.where("n_scored > 0").groupBy("lang", F.floor(F.col(column) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    over = W.partitionBy("lang")
-    so_far = F.sum("n").over(over.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(over)
-    found = bins.withColumn("share", so_far)
-    return found.groupBy("lang").agg(*[(F.min(F.when(F.col("share") >= k / 4, F.col("bin"))) / 1000).alias(f"q{k}") for k in (1, 2, 3)])
+    return bins.groupBy("lang").agg(F.expr("transform(percentile(bin, array(0.25, 0.5, 0.75), n), x -> x / 1000)").alias("q"))
 
 
 BANDS = {"word_logp": (5.0, 12.0, 0.05), "shape_logp": (9.0, 9.0, 0.05)}
@@ -76,8 +72,8 @@ def judge(scored: DataFrame, bands: dict[str, tuple[float, float, float]] = BAND
     """Add perplexity, base_failed and kept. The bands are one row for each language."""
     out, inside = scored, F.lit(True)
     for column, (low, high, floor) in bands.items():
-        dev = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(floor))
-        limits = quartiles(scored, column).select(F.col("lang").alias("_lang"), (F.col("q2") - F.lit(low) * dev).alias("_low"), (F.col("q2") + F.lit(high) * dev).alias("_high"))
+        dev = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(floor))
+        limits = quartiles(scored, column).select(F.col("lang").alias("_lang"), (F.col("q")[1] - F.lit(low) * dev).alias("_low"), (F.col("q")[1] + F.lit(high) * dev).alias("_high"))
         out = out.join(F.broadcast(limits), out["lang"].eqNullSafe(F.col("_lang")), "left")
         out = out.withColumn(f"_{column}", F.col(column).between(F.col("_low"), F.col("_high"))).drop("_lang", "_low", "_high")
         inside = inside & F.coalesce(F.col(f"_{column}"), F.lit(False))

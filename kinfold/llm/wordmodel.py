@@ -3,14 +3,14 @@
 Every pair of neighbouring words of every text counts, so the model grows with the corpus; nothing of it
 is gathered on the driver or broadcast but a row of discounts for each language. Words are lower-cased,
 between ASCII white space, and every character from U+3000 to U+9FFF is a word; a text starts with a mark
-of its own. Words and pairs travel as 48-bit hashes with the language in them: among n of them one in
-2**48 / n is mistaken for another.
+of its own. Words and pairs travel as 44-bit hashes with the language in them: among n of them one in
+2**44 / n is mistaken for another.
 
 There are two models of each language: of the words themselves, and of their shapes (runs of lower-case
 letters, capitals and digits as one sign each, other ASCII signs as they are), which tells the build of a
 text where its words are rare.
 
-Texts of one language and half are packed into chunks of about ``CHUNK`` bytes: the sorted hashes of
+Texts of one language and half are packed into chunks of about ``CHUNK`` bytes: the hashes of
 their distinct words, the text as places in that array, and what is known of each text. The chunk table
 is bucketed by chunk, so that joining what is found out about a chunk does not shuffle it. Then
 
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import LOWER, Scratch, released, runs, session, ship, shuffle_width
 from kinfold.llm.words import mix, word_hashes
 
-BITS, CHUNK, BUCKET = 48, 24 << 20, 1 << 22
+BITS, CHUNK, BUCKET = 44, 24 << 20, 1 << 22
 LAYERS = ("word", "shape")
 SHAPE = bytes(ord("a") if b >= 128 or 97 <= b <= 122 else ord("A") if 65 <= b <= 90 else ord("9") if 48 <= b <= 57 else b for b in range(256))
 _ODD = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
@@ -70,6 +70,7 @@ def expand(raw: bytes) -> np.ndarray:
 
 
 def squeeze_sorted(a: np.ndarray) -> bytes:
+    """Numbers as differences, which are small where they ascend and wrap around where they do not."""
     return squeeze(np.diff(a, prepend=np.uint64(0)))
 
 
@@ -96,15 +97,19 @@ def shapes(raw: bytes) -> bytes:
 
 
 def pack_texts(model: str, raw: list[bytes]) -> tuple[bytes, bytes, list[int]]:
-    """The sorted hashes of the distinct words (or shapes) of some texts and of the mark that starts a
-    text, the texts' words as places in them, and where each text ends."""
+    """The hashes of the distinct words (or shapes) of some texts and of the mark that starts a text, more
+    frequent ones first, so that places are small numbers, and sorted among equals; the texts' words as
+    places in them, and where each text ends."""
     if model.startswith(LAYERS[0]):
         hashes, ends = word_hashes([r.translate(LOWER) for r in raw], apart=True)
     else:
         hashes, ends = word_hashes([shapes(r) for r in raw])
     keys = mix(hashes ^ model_hash(model)) >> np.uint64(64 - BITS)
-    words, at = np.unique(np.append(keys, start_key(model)), return_inverse=True)
-    return squeeze_sorted(words), squeeze(at[:-1]), ends
+    words, at, n = np.unique(np.append(keys, start_key(model)), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return squeeze_sorted(words[order]), squeeze(rank[at[:-1]]), ends
 
 
 def start_key(model: str) -> np.uint64:
@@ -116,7 +121,11 @@ class Chunk:
     sorted distinct pairs ``keys``, and ``count`` how often each of those occurs."""
 
     def __init__(self, model: str, words: bytes, places: bytes, ends: np.ndarray):
-        self.words, self.w = expand_sorted(words), expand(places).astype(np.int64)
+        held = expand_sorted(words)
+        order = np.argsort(held)
+        at = np.empty_like(order)
+        at[order] = np.arange(len(order))
+        self.words, self.w = held[order], at[expand(places).astype(np.int64)]
         self.v = np.empty_like(self.w)
         self.v[1:] = self.w[:-1]
         begins = np.concatenate([[0], ends[:-1]])

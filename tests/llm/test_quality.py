@@ -51,7 +51,7 @@ def plain_bands(rows):
         for lang in {r.lang for r in rows}:
             own = sorted(math.floor(r[column] * 1000) for r in rows if r.lang == lang and r.n_scored)
             if own:
-                q1, q2, q3 = (own[math.ceil(k * len(own) / 4) - 1] / 1000 for k in (1, 2, 3))
+                q1, q2, q3 = np.percentile(own, [25, 50, 75]) / 1000
                 dev = max((q3 - q1) / 1.349, floor)
                 limits[column, lang] = q2 - low * dev, q2 + high * dev
     return {
