@@ -7,6 +7,7 @@ Intermediate tables are always written with Spark's own committer to the folder
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -127,6 +128,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of finished steps now: it acts when the driver's
+        garbage is collected, which may be long after tables have taken the shuffles' place."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

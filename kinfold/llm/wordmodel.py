@@ -358,12 +358,14 @@ def word_scores(docs: DataFrame, facts, names: list[str], scratch: Scratch) -> D
     total = chunks.select("doc_id", "facts").mapInArrow(lengths, "n long").agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_width(spark), -(-total // BUCKET))
     pairs = scratch.put(ask(chunks, send_pairs, answer_pairs, buckets), "pairs", "none")
+    scratch.release()
 
     def of(found: DataFrame, name: str) -> DataFrame:
         return found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "numbers")).alias(name))
 
     known = chunks.join(of(pairs, "pairs"), "chunk", "left")
     stats = scratch.put(ask(known, send_words, answer_words, buckets), "stats", "none")
+    scratch.release()
     of_pairs, of_words = summed(pairs), summed(stats)
     shared = spark.sparkContext.broadcast({model: [Scorer(x, of_words[model], h) for h in (0, 1)] for model, x in of_pairs.items()})
     n = len(names)
