@@ -12,6 +12,7 @@ import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -130,9 +131,12 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark's cleaner delete the shuffle files of finished steps now: it acts when the driver's
-        garbage is collected, which may be long after tables have taken the shuffles' place."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        garbage is collected, which may be long after tables have taken the shuffles' place. A second round
+        is for what the listeners of the step that just ended still held."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
