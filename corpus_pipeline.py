@@ -4,8 +4,9 @@ token files, each stage over all that the stage before kept.
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet and read again as the next stage's ``docs``. All stages but the last
 return the columns of ``documents``. Texts that the language model rejects go; one document of each
-near-duplicate component stays; contaminated documents go; the mix repeats or leaves out whole
-documents; the last stage writes the token files and returns what they hold.
+near-duplicate component stays; contaminated documents go; the mix takes documents as often as its
+blocks cover them, one in each cell only up to the word where the last block ends; the last stage writes
+the token files and returns what they hold.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it."""
+    """Take the words of each document that the mix's blocks cover."""
     return mixed(docs)
 
 
