@@ -27,14 +27,18 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import read, released, session, ship
 
-NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
-NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(NUMBERS)}]+")
-"""What is no letter; numerals such as a half or a circled one count as word characters elsewhere."""
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha()) + "]")
+"""Numerals such as a half or a circled one are word characters but no letters. A class of its own, which
+is looked up in a table; joined with the categories above it would be tried sign by sign."""
 UND = "und"
 
 
 def letters(text: str | None) -> str:
-    return NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if not text:
+        return ""
+    low = text.lower()
+    return NOT_LETTERS.sub(" ", low if low.isascii() else NUMERALS.sub(" ", low)).strip()
 
 
 class Model:
