@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import read, released, session, ship
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha()) + "]")
-"""Numerals such as a half or a circled one are word characters but no letters. A class of its own, which
-is looked up in a table; joined with the categories above it would be tried sign by sign."""
+NUMERALS = frozenset(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
+"""Numerals such as a half or a circled one are word characters but no letters; texts are asked for any first."""
+_BLANKED = dict.fromkeys(map(ord, NUMERALS), " ")
 UND = "und"
 
 
@@ -38,7 +38,9 @@ def letters(text: str | None) -> str:
     if not text:
         return ""
     low = text.lower()
-    return NOT_LETTERS.sub(" ", low if low.isascii() else NUMERALS.sub(" ", low)).strip()
+    if not low.isascii() and not NUMERALS.isdisjoint(low):
+        low = low.translate(_BLANKED)
+    return NOT_LETTERS.sub(" ", low).strip()
 
 
 class Model:
