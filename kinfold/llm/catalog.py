@@ -34,11 +34,17 @@ with w as (select doc_id, row_number() over () r, regexp_extract_all(translate(c
  b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') x from benchmark where item_id is not null),
  bw as (select distinct item_id, least(13, len(x)) n, array_to_string(x[i : i + least(13, len(x)) - 1], ' ') g from (select item_id, x, unnest(range(1, greatest(len(x) - 12, 1) + 1)) i from b where len(x) > 0)),
  dw as (select r, i, n, array_to_string(x[i : i + n - 1], ' ') g from (select r, x, n, unnest(range(1, len(x) - n + 2)) i from w, (select distinct n from bw) where len(x) >= n)),
+ bp as (select row_number() over () br, item_id, x from b),
+ bi as (select br, item_id, i pos, least(13, len(x)) n, array_to_string(x[i : i + least(13, len(x)) - 1], ' ') g from (select br, item_id, x, unnest(range(1, greatest(len(x) - 12, 1) + 1)) i from bp where len(x) > 0)),
  m as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw using (n, g)),
+ d as (select dw.r, dw.i, dw.n, br, item_id, pos, dw.i - row_number() over (partition by dw.r, br, dw.i - pos, dw.n order by dw.i) run from dw join bi using (n, g)),
+ l as (select r, item_id, min(i) s, min(pos) ps, count(*) + n - 1 len from d group by r, br, item_id, i - pos, n, run),
+ z as (select * from (select *, row_number() over (partition by r order by len desc, s, item_id, ps) k from l) where k = 1),
  h as (select r, count(distinct p) n_hit from (select r, unnest(range(i, i + n)) p from (select distinct r, i, n from m)) group by 1),
  t as (select r, count(*) n_items, string_agg(s, ',' order by s) s from (select distinct r, item_id::varchar s from m) group by 1)
-select doc_id, len(x)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256,
- coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(x) contaminated from w left join h using (r) left join t using (r)""",
+select doc_id, len(x)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(t.s, '')) items_sha256,
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(x) contaminated, len::bigint match_words, (z.s - 1)::bigint match_at, z.item_id::bigint match_item, (ps - 1)::bigint match_item_at
+ from w left join h using (r) left join t using (r) left join z using (r)""",
     "op6_hamming_join": """
 with recursive w as (select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') x from documents),
  s as (select distinct r, array_to_string(x[i : i + 4], ' ') g from (select r, x, unnest(range(1, greatest(len(x) - 4, 1) + 1)) i from w where len(x) > 0)),

@@ -47,7 +47,7 @@ class TestSuffixes:
         self.wide = np.dtype(">u2") if len(self.vocabulary) < 65_000 else np.dtype(">u4")
         self.items = np.array([i for i, _ in split], np.int64)
         sizes = np.array([len(ws) for _, ws in split], np.int64)
-        self.starts = np.cumsum(sizes + 1) - sizes - 1  # a 0 parts the items
+        self.sizes, self.starts = sizes, np.cumsum(sizes + 1) - sizes - 1  # a 0 parts the items
         ids = np.zeros(int((sizes + 1).sum()) + window, np.int64)
         for at, (_, ws) in zip(self.starts.tolist(), split, strict=True):
             ids[at : at + len(ws)] = [self.vocabulary[w] for w in ws]
@@ -72,23 +72,33 @@ class TestSuffixes:
         """Rows of word numbers as byte strings that sort alike; equal lengths, so padding never confuses them."""
         return np.ascontiguousarray(ids, dtype=self.wide).view(f"S{self.window * self.wide.itemsize}").reshape(-1)
 
-    def find(self, key: bytes) -> int:
-        """Where in the block's words a run of words (4 bytes each) stands first in suffix order; -1 if nowhere."""
+    def bound(self, key: bytes, after: bool = False) -> int:
+        """How many suffixes come before a run of words (4 bytes each), or before what follows it."""
         n, low, high = len(key), 0, len(self.order)
         while low < high:
             mid = (low + high) // 2
             at = 4 * int(self.order[mid])
-            if self.text[at : at + n] < key:
+            part = self.text[at : at + n]
+            if part < key or after and part == key:
                 low = mid + 1
             else:
                 high = mid
+        return low
+
+    def known(self, key: bytes) -> bool:
+        """Whether a run of words occurs in an item."""
+        low = self.bound(key)
         at = 4 * int(self.order[low]) if low < len(self.order) else 0
-        return at // 4 if low < len(self.order) and self.text[at : at + n] == key else -1
+        return low < len(self.order) and self.text[at : at + len(key)] == key
 
-    def place(self, at: int) -> tuple[int, int]:
-        """(item, word) of a position."""
-        k = int(np.searchsorted(self.starts, at, "right")) - 1
-        return int(self.items[k]), at - int(self.starts[k])
+    def place(self, key: bytes) -> tuple[int, int]:
+        """The least (item, word) where a run of words occurs; one shorter than a window only as a whole item."""
+        at = self.order[self.bound(key) : self.bound(key, after=True)]
+        k = np.searchsorted(self.starts, at, "right") - 1
+        if len(key) < 4 * self.window:
+            at, k = at[self.sizes[k] == len(key) // 4], k[self.sizes[k] == len(key) // 4]
+        first = np.lexsort((at - self.starts[k], self.items[k]))[0]
+        return int(self.items[k[first]]), int(at[first] - self.starts[k[first]])
 
 
 def suffix_order(ids: np.ndarray) -> np.ndarray:
@@ -163,19 +173,21 @@ class Shard:
 
     def longest(self, first: int, end: int, at: np.ndarray, length: np.ndarray) -> tuple[int, int, int, int]:
         """(words, word of the document, item, word of the item) of the longest verbatim match in the document
-        at first..end, whose windows start at ``at``: a match is extended word by word doubling, and the
-        next one looked at is the first that goes on beyond its end."""
+        at first..end, whose windows start at ``at``: a match is extended by doubled steps, and the next one
+        looked at is the first that goes on beyond its end. An item shorter than a window matches whole."""
         words = self.ids[first:end].astype(">u4").tobytes()
         zeros = np.append(np.flatnonzero(self.ids[first:end] == 0), end - first)
 
         def known(a: int, b: int) -> bool:
-            return self.tests.find(words[4 * a : 4 * b]) >= 0
+            return self.tests.known(words[4 * a : 4 * b])
 
-        best, k = (0, 0), 0
+        full = length == self.tests.window
+        best = max(((int(n), first - int(p)) for p, n in zip(at[~full], length[~full], strict=True)), default=(0, 0))
+        at, k = at[full], 0
         while k < len(at):
-            p, n = int(at[k]) - first, int(length[k])
+            p = int(at[k]) - first
             stop = int(zeros[np.searchsorted(zeros, p)])
-            good, step = p + n, 1
+            good, step = p + self.tests.window, 1
             while good < stop:  # the farthest end of a match from p
                 if good + step <= stop and known(p, good + step):
                     good, step = good + step, 2 * step
@@ -192,7 +204,7 @@ class Shard:
                 mid = (low + high) // 2
                 low, high = (low, mid) if known(mid, good + 1) else (mid + 1, high)
             k = max(k + 1, int(np.searchsorted(at, first + low)))
-        return best[0], -best[1], *self.tests.place(self.tests.find(words[-4 * best[1] : 4 * (best[0] - best[1])]))
+        return best[0], -best[1], *self.tests.place(words[-4 * best[1] : 4 * (best[0] - best[1])])
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -224,12 +236,12 @@ def one_pass(tests: TestSuffixes, texts: list[str | None], limit: int = 1 << 21)
 
 
 def joined(found: Found, before: dict | None) -> Found:
-    """What one block and those before it found in a text; the longest match is the earlier of equals."""
+    """What one block and those before it found in a text; of equally long matches the first in the text, then the least item and place."""
     if not before:
         return found
     n, hit, items, longest = found
     was = tuple(before["longest"]) if before["longest"] else None
-    best = was if was and (not longest or was[0] >= longest[0]) else longest
+    best = min((m for m in (was, longest) if m), key=lambda m: (-m[0], *m[1:]), default=None)
     return n, np.union1d(hit, np.frombuffer(before["hit"], "<i4")), sorted({*items, *before["items"]}), best
 
 

@@ -43,26 +43,27 @@ def occurs(part, item_words):
 
 
 def longest(text, items, window):
-    """Words of the longest run that starts with an occurring window and occurs in an item."""
-    w, split = words(text), [words(t) for i, t in items if i is not None]
-    windows = {tuple(x[k : k + window]) for x in split for k in range(max(1, len(x) - window + 1) if x else 0)}
-    best = 0
-    for p in range(len(w)):
-        if any(tuple(w[p : p + n]) in windows for n in {len(x) for x in windows}):
-            best = max(best, max(n for n in range(1, len(w) - p + 1) if any(occurs(w[p : p + n], x) for x in split)))
-    return best
+    """(words, place, item, place there) of the longest run that starts with a full window and occurs in an
+    item, or of a whole item shorter than a window; ties by place, then item."""
+    w, split = words(text), [(i, words(t)) for i, t in items if i is not None]
+    found = [(0, 0, None, None)]
+    for i, x in split:
+        for k in range(len(x)):
+            for p in range(len(w)):
+                n = 0
+                while p + n < len(w) and k + n < len(x) and w[p + n] == x[k + n]:
+                    n += 1
+                if n >= window or n == len(x):
+                    found.append((-n, p, i, k))
+    best = min(found)
+    return -best[0], *best[1:]
 
 
 def found(df, docs=None, items=(), window=13):
     rows = df.collect()
     if docs is not None:
-        texts = {r[0]: words(r[1]) for r in docs}
-        want = sorted(longest(r[1], items, window) for r in docs)
-        assert sorted(r.match_words or 0 for r in rows) == want
-        for r in rows:
-            if r.match_words:
-                part = texts[r.doc_id][r.match_at : r.match_at + r.match_words]
-                assert len(part) == r.match_words and any(i == r.match_item and words(t)[r.match_item_at : r.match_item_at + r.match_words] == part for i, t in items)
+        want = [longest(r[1], items, window) for r in docs]
+        assert sorted((str(r.doc_id), r.match_words or 0, r.match_at or 0, r.match_item, r.match_item_at) for r in rows) == sorted((str(d[0]), *m) for d, m in zip(docs, want, strict=True))
     return sorted((tuple(r)[:6] for r in rows), key=str)
 
 
@@ -118,4 +119,4 @@ def test_against_brute_force(docs, items):
     want = {r[0]: r for r in brute(list(enumerate(docs)), items, 3)}
     for k in range(len(docs)):
         assert (len(hit[k]), len(own[k])) == want[k][2:4]
-        assert (best[k][0] if best[k] else 0) == longest(docs[k], items, 3)
+        assert (best[k] or (0, 0, None, None)) == longest(docs[k], items, 3)
