@@ -81,7 +81,16 @@ def transliterate(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", tx.transliterate(F.concat(F.lit("विजन "), F.col("text"))).alias("latin"))
 
 
-@query()
+def _clean_sql(c: str) -> str:
+    """``clean_text`` of an ASCII column."""
+    return f"""case when trim(lower(coalesce({c}, '')), e' \\t\\n\\r') in ({_NULLS}) then '' else trim(regexp_replace(replace(lower(coalesce({c}, '')), '&', ' and '), '[^0-9a-z]+', ' ', 'g')) end"""
+
+
+@query(f"""with v as (select c_custkey entity_id, c_name business_name, c_mktsegment business_address, {_clean_sql('c_name')} name_n, {_clean_sql('c_mktsegment')} addr_n from customer),
+ k as (select *, list_filter(string_split(name_n, ' '), lambda x: x not in ({_LEGAL})) w from v)
+select entity_id, business_name, business_address, name_n, addr_n, case when len(w) > 0 then array_to_string(w, ' ') else name_n end name_legal,
+ replace(regexp_replace(name_n, '^(?:www )|(?: (?:com|in|net|org|co|biz|info|fr|us))+$', '', 'g'), ' ', '') name_nospace, array_to_string(regexp_extract_all(addr_n, '[0-9]+'), ' ') addr_digits,
+ 0::tinyint script, name_n name_tr, addr_n addr_tr from k""")
 def normalized_views(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("business_name"), F.col("c_mktsegment").alias("business_address"))
     return tx.normalized(c)
@@ -491,7 +500,7 @@ def bootstrap_delta(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(b["delta"], b["ci_low"], b["ci_high"], b["significant"], b["n_entities"], ev.verdict(b))], "delta double, ci_low double, ci_high double, significant boolean, n long, verdict string")
 
 
-@query()
+@query("select item_id, length(text)::int n from benchmark order by n, item_id")
 def length_order(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items by length, ties by id."""
     return read(spark, sf, "benchmark").select("item_id", F.length("text").alias("n")).orderBy("n", "item_id")
