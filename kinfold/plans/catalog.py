@@ -525,7 +525,11 @@ def training_triplets(spark: SparkSession, sf: str) -> DataFrame:
     return fo.training_triplets(fx.records(spark, sf).drop("cust"), ranked, fx.entities(spark, sf), [3, 4])
 
 
-@query()
+_DRAWN = ORACLES["entity_uniform"].replace("c_custkey", "o_orderkey").replace("from customer", "from orders")
+
+
+@query(f"""with {RECORDS}, {ENTITIES}, drawn as ({_DRAWN}) select r.country, src, rec, parent, coalesce(fold, least(floor(u * 5), 4))::int owner
+ from records r left join entities e on e.country = r.country and e.s1 = parent join drawn on drawn.s1 = rec""")
 def owner_fold(spark: SparkSession, sf: str) -> DataFrame:
     return fo.owner_fold(fx.records(spark, sf), fx.entities(spark, sf)).select("country", "src", "rec", "parent", "owner")
 

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert got or name in ("validator_report", "error_anatomy", "batches", "batch_masks")
 
 
-PLAIN = ["transliterate", "edit_ratios", "training_triplets", "owner_fold", "cross_fit_oof", "isotonic", "combiner", "bootstrap_delta"]
+PLAIN = ["transliterate", "edit_ratios", "training_triplets", "cross_fit_oof", "isotonic", "combiner", "bootstrap_delta"]
 
 
 @pytest.mark.parametrize("name", PLAIN)
