@@ -15,15 +15,22 @@ PACK = {"entity": (("country", 32), ("s1", 0)), "record": (("country", 40), ("sr
 
 
 def packed_key(kind: str) -> Column:
-    """The fields of a key in one 64-bit integer."""
+    """The fields of a key, shifted and or-ed into one 64-bit integer.
+
+    An id beyond its bits runs into the next field, and such keys may coincide: see
+    ``packed_pair_checked``. As in DuckDB, a shift of a negative field or one that loses bits raises."""
     out = F.lit(0).cast("long")
     for field, shift in PACK[kind]:
-        out = out.bitwiseOR(F.shiftleft(F.col(field).cast("long"), shift))
+        c = F.col(field).cast("long")
+        if shift:
+            lost = (c < 0) | (c >= 1 << (63 - shift))
+            c = F.when(lost, F.raise_error(F.lit(f"{field} cannot be shifted by {shift} bits")).cast("long")).otherwise(F.shiftleft(c, shift))
+        out = out.bitwiseOR(c)
     return out
 
 
 def packed_pair_checked() -> Column:
-    """The pair key; ids beyond their bits raise."""
+    """The pair key where it must be unique: ids beyond their bits raise."""
     fits = (F.col("s1") < 1 << 21) & (F.col("rec") < 1 << 22) & (F.col("s1") >= 0) & (F.col("rec") >= 0)
     return F.when(fits, packed_key("pair")).otherwise(F.raise_error(F.lit("an id exceeds the bits of a pair key")).cast("long"))
 

@@ -95,6 +95,31 @@ def test_keys_beyond_their_bits_raise(spark):
         frame(spark, [(0, 2, 1 << 23, 1, 0.5)], PAIR).select(pa.packed_pair_checked()).collect()
 
 
+def test_packed_keys_equal_sql_beyond_their_bits(spark, tmp_path):
+    import duckdb
+
+    from kinfold.plans import catalog
+
+    spark.range(1, 31).selectExpr("id as c_custkey", "concat('c', id) as c_name", "'m' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(5, 3), ((1 << 22) - 1, 3), (1 << 22, 3), ((1 << 22) + 5, 3), ((1 << 23) + 5, 3), (9_000_000, (1 << 21) - 1), (9_000_001, 1 << 21), (7, 3_000_000), (8, None)]
+    frame(spark, orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.QUERIES["packed_keys"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    for t in ("customer", "orders"):
+        duck.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = duck.execute(catalog.ORACLES["packed_keys"])
+    names = [d[0] for d in want.description]
+    rows = got.select(*names).collect()
+    assert sorted(str(tuple(r)) for r in rows) == sorted(map(str, want.fetchall()))
+    assert {r.rec for r in rows} == {rec for rec, _ in orders}
+
+
+@pytest.mark.parametrize("row", [(0, 2, 1 << 42, 1, 0.5), (0, 2, -1, 1, 0.5), (0, 1 << 20, 1, 1, 0.5), (0, -2, 1, 1, 0.5)])
+def test_keys_that_would_lose_bits_raise(spark, row):
+    with pytest.raises(Exception, match="cannot be shifted"):
+        frame(spark, [row], PAIR).select(pa.packed_key("pair")).collect()
+
+
 def test_missing_fold_raises(spark):
     e = frame(spark, [(0, 1, 0)], "country int, s1 long, fold int")
     with pytest.raises(Exception, match="no fold"):
