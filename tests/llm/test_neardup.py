@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import kinfold.llm.components as cc
 import kinfold.llm.neardup as nd
 from kinfold.llm.common import Scratch
 from kinfold.llm.components import components
@@ -145,3 +146,59 @@ def test_components(spark):
         up[y] = x
     got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "cc"), "t").collect()
     assert {r.node: r.root for r in got} == {x: top(x) for x in up if any(x in e and e[0] != e[1] for e in edges)} and len(got) == len({r.node for r in got})
+
+
+def by_search(edges):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    out = {}
+    for start in sorted(near):
+        todo = [] if start in out else [start]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = start
+                todo += near[x]
+    return out
+
+
+def awkward_edges():
+    rng = random.Random(2)
+    some = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)]
+    path = [(1000 + i, 1000 + (i + 1) * 7919 % 401) for i in range(400)] + [(1000 + i, 1001 + i) for i in range(0, 400, 3)]
+    star = [(9000, 5000 + i) for i in range(500)]
+    return [*some, *path, *star, *star[:50], (1 << 62, -(1 << 62))]
+
+
+def test_a_small_edge_table_is_not_shuffled_round_by_round(spark, monkeypatch):
+    written, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name, *a: written.append(name) or put(self, df, name, *a))
+    edges = awkward_edges()
+    got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "cc"), "t").collect()
+    assert {r.node: r.root for r in got} == by_search(edges) and len(got) == len(by_search(edges))
+    assert len(written) <= 2
+    assert components(spark.createDataFrame([(4, 4)], "u long, v long"), Scratch(spark, "cc"), "t").count() == 0
+
+
+@pytest.mark.parametrize("whole,ends", [(0, False), (1300, True)])
+def test_components_by_rounds(spark, monkeypatch, whole, ends):
+    """Of a table that is too large for one task, for good or until a round has made it smaller."""
+    written, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name, *a: written.append(name) or put(self, df, name, *a))
+    monkeypatch.setattr(cc, "WHOLE", whole)
+    edges = awkward_edges()
+    got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "cc"), "t").collect()
+    assert {r.node: r.root for r in got} == by_search(edges) and len(got) == len(by_search(edges))
+    assert "t1" in written and ("t-roots" in written) == ends
+
+
+def test_least_reachable():
+    rng = np.random.default_rng(4)
+    for n, m in ((3, 2), (50, 30), (2000, 1500), (2000, 4000)):
+        edges = rng.integers(0, n, (m, 2))
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        nodes, roots = cc.least_reachable(edges[:, 0], edges[:, 1])
+        assert dict(zip(nodes.tolist(), roots.tolist())) == by_search(edges.tolist())
